@@ -40,7 +40,7 @@ VERDICT_SQL = """ver AS (
          WHEN doc_id % 11 = 0 THEN 'corrupt (bad header)'
          WHEN doc_id % 7 = 0 THEN 'wrong sample rate (44100 Hz, expected 16000)'
          WHEN doc_id % 5 = 0 THEN 'not mono (2 channels)'
-         WHEN n_chars / 8000.0::DOUBLE <= 0.1 THEN format('too short ({:.3f}s, min 0.1s)', n_chars / 8000.0::DOUBLE)
+         WHEN n_chars / 8000.0::DOUBLE <= 0.1 THEN 'too short (' || round(CAST(n_chars / 8000.0 AS DECIMAL(18, 9)), 3)::DECIMAL(18, 3) || 's, min 0.1s)'
          ELSE '' END AS reason FROM documents)"""
 CATEGORY_SQL = VERDICT_SQL + """,
 cats AS (SELECT path, dataset, reason = '' AS valid, reason,

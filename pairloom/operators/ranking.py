@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,9 @@ def depth_bucket(value: Column, bounds: Sequence[float]) -> Column:
     """Number of bounds below ``value`` by binary search (ten comparisons per row)."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(float(b)) for b in bounds])
-    steps = F.array(*[F.lit(s) for s in _STEPS])
+    padded = [*bounds, *[float("inf")] * (BOUNDS - len(bounds))]
+    cuts = F.lit(np.asarray(padded, dtype="float64"))
+    steps = F.lit(np.asarray(_STEPS, dtype="int32"))
     return F.aggregate(
         steps,
         F.lit(0),

@@ -60,11 +60,11 @@ def _padding(series: DataFrame, keys: Sequence[str], n: Column, w: int, s: int)
     last = window_count(n, w, s) - 1
     used = n - last * s
     first = series.where(F.col("pos") == 0).select(
-        *keys, "n", last.alias("chunk"), used.alias("_used")
+        *keys, "n", last.alias("chunk"), used.cast("int").alias("_used")
     ).where(F.col("_used") < w)
     return first.select(
         *keys, "n", "chunk",
-        F.explode(F.sequence(F.col("_used"), F.lit(w - 1).cast("bigint"))).cast("int").alias("i"),
+        F.explode(F.sequence(F.col("_used"), F.lit(w - 1))).alias("i"),
         F.lit(0.0).alias("value"),
     )
 
