@@ -22,3 +22,18 @@ def hash_int(seed: str | int, *keys: Column) -> Column:
 def hash_unit(seed: str | int, *keys: Column) -> Column:
     """Uniform draw in [0, 1)."""
     return hash_int(seed, *keys) / F.lit(4294967296.0)
+
+
+def hash_normal(seed: str | int, *keys: Column) -> Column:
+    """Standard normal draw (Box-Muller on two hashed uniforms).
+
+    Unlike ``randn(seed)`` it depends on the row's key only, not on partitioning or on row
+    order after a shuffle, so a recomputed partition repeats its noise.
+    """
+    u = (hash_int(f"{seed}|u", *keys) + 1) / F.lit(4294967296.0)
+    v = hash_int(f"{seed}|v", *keys) / F.lit(4294967296.0)
+    return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(6.283185307179586) * v)
+
+
+def hash_between(seed: str | int, low: float, high: float, *keys: Column) -> Column:
+    return F.lit(float(low)) + F.lit(float(high) - float(low)) * hash_unit(seed, *keys)
