@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 from importlib import import_module
-from importlib.util import find_spec
 
 MODULES = (
     "catalogue", "validation", "pairs", "windows", "features", "augment", "store",
-    "similarity", "model", "evaluation", "profiling", "streams",
+    "similarity", "model", "evaluation", "profiling", "streams", "flagship",
 )
 
 
 def _merged(attribute: str) -> dict:
     out: dict = {}
     for name in MODULES:
-        if find_spec(f"checks.{name}") is None:
-            continue
         out.update(getattr(import_module(f"checks.{name}"), attribute))
     return out
 

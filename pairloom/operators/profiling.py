@@ -288,24 +288,57 @@ def pairwise_cohens_d(vectors: DataFrame, source: str, k: int = 30, col: str = "
     return d.join(best.select("dim", "rank"), "dim")
 
 
+def _gram_batches(batches):
+    """Per group of a task: count, sums and the product matrix X'X, one row per matrix row."""
+    sums: dict = {}
+    for batch in batches:
+        for value, part in batch.groupby("g", sort=False)["v"]:
+            x = np.stack(part.to_list()).astype("float64")
+            x = np.hstack([np.ones((len(x), 1)), x])
+            sums[value] = sums.get(value, 0.0) + x.T @ x
+    for value, m in sums.items():
+        yield pd.DataFrame({"g": value, "i": np.arange(len(m), dtype="int32"), "row": list(m)})
+
+
+def _explained(k: int, share: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "j"])
+        size = int(pdf["i"].max()) + 1
+        m = pdf["x"].to_numpy().reshape(size, size)
+        n, total = m[0, 0], m[0, 1:]
+        cov = (m[1:, 1:] - np.outer(total, total) / n) / max(n - 1, 1)
+        values = np.clip(np.linalg.eigvalsh(cov)[::-1], 0.0, None)
+        whole = values.sum()
+        cumulative = np.cumsum(values / whole if whole > 0 else values)[: int(min(k, n, size - 1))]
+        reached = int(np.searchsorted(cumulative, share)) + 1
+        return pd.DataFrame(
+            {
+                "g": pdf["g"].iloc[0],
+                "component": np.arange(1, len(cumulative) + 1, dtype="int32"),
+                "cumulative": cumulative,
+                "needed": pd.array([reached if reached <= len(cumulative) else None] * len(cumulative), dtype="Int32"),
+            }
+        )
+
+    return run
+
+
 def pca_profile(vectors: DataFrame, group: str, k: int = 30, share: float = 0.9, col: str = "vector") -> DataFrame:
-    """Cumulative explained variance per group and the number of components that reach the share.
+    """Cumulative explained variance per group and the number of components that reach the share
+    (null if the first k do not).
 
-    The groups are few named sources; each is one distributed covariance pass.
+    One pass for all groups: each task reduces its rows to one product matrix per group, the
+    matrices are added by a grouped sum, and a group's eigenvalues come from a matrix whose
+    size is the vector's width squared, whatever the number of rows.
     """
-    rows = vectors.select(group, array_to_vector(F.col(col).cast("array<double>")).alias("_v"))
-    out = []
-    for value in [r[0] for r in rows.select(group).distinct().orderBy(group).limit(1000).collect()]:
-        part = rows.where(F.col(group) == F.lit(value))
-        width = part.first()["_v"].size
-        model = PCA(k=min(k, width, part.count()), inputCol="_v", outputCol="_p").fit(part)
-        cumulative = np.cumsum(model.explainedVariance.toArray())
-        reached = int(np.searchsorted(cumulative, share) + 1)
-        out += [
-            (value, i + 1, float(c), reached if reached <= len(cumulative) else None) for i, c in enumerate(cumulative)
-        ]
     kind = dict(vectors.dtypes)[group]
-    return vectors.sparkSession.createDataFrame(out, f"{group} {kind}, component int, cumulative double, needed int")
+    rows = vectors.select(F.col(group).alias("g"), F.col(col).cast("array<double>").alias("v"))
+    partial = rows.mapInPandas(_gram_batches, f"g {kind}, i int, row array<double>")
+    added = partial.select("g", "i", F.posexplode("row").alias("j", "x")).groupBy("g", "i", "j").agg(F.sum("x").alias("x"))
+    out = added.groupBy("g").applyInPandas(
+        _explained(k, share), f"g {kind}, component int, cumulative double, needed int"
+    )
+    return out.withColumnRenamed("g", group)
 
 
 def project_2d(vectors: DataFrame, key: str, col: str = "vector", head: int | None = None) -> DataFrame:
