@@ -119,7 +119,7 @@ def every_pair(spark, sf):
 
 
 def split_pairs(spark, sf):
-    return ops.stratified_split(every_pair(spark, sf))
+    return pair_table.split_table(every_pair(spark, sf))
 
 
 def roles(spark, sf):

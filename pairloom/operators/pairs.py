@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hash_hex, hash_int
 from pairloom.operators.ranking import exact_rank, first_rows, hash_bucket
+from pairloom.session import cut_lineage
 
 ATTEMPTS = 5
 HARD_CAP = 50
@@ -33,14 +34,19 @@ def sample_pairs(
     seed: str | int = 42,
     col: str = "path",
     unordered: bool = False,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Up to ``n`` distinct ordered pairs (a <> b) from two pools, at most 5·n draws.
 
     A draw is two hashed indices; each index is an equi-join with a numbered pool, so the
-    product of the pools is never formed. Duplicates keep their first draw.
+    product of the pools is never formed. Duplicates keep their first draw. ``sizes`` spares
+    counting pools whose sizes are known.
     """
     spark = pool_a.sparkSession
-    size_a, size_b = pool_a.count(), pool_b.count()
+    if sizes is None:
+        size_a = pool_a.count()
+        sizes = (size_a, size_a if pool_b is pool_a else pool_b.count())
+    size_a, size_b = sizes
     if n <= 0 or size_a == 0 or size_b == 0:
         return spark.createDataFrame([], "track_a_path string, track_b_path string, draw bigint")
     draws = spark.range(n * ATTEMPTS).select(
@@ -55,7 +61,8 @@ def sample_pairs(
         lo = F.least("track_a_path", "track_b_path")
         hi = F.greatest("track_a_path", "track_b_path")
         drawn = drawn.select(lo.alias("track_a_path"), hi.alias("track_b_path"), "draw")
-    distinct = drawn.groupBy("track_a_path", "track_b_path").agg(F.min("draw").alias("draw"))
+    # the rank below reads its input twice: draw and join once
+    distinct = cut_lineage(drawn.groupBy("track_a_path", "track_b_path").agg(F.min("draw").alias("draw")))
     width = max(1, n * ATTEMPTS // 4096)
     ranked = exact_rank(
         distinct, [], [F.col("draw")], F.floor(F.col("draw") / F.lit(width)), name="_rank"
@@ -81,8 +88,9 @@ def class_positive_pairs(
     sizes = cat.agg(
         F.count_if(F.col(label) == "real").alias("r"), F.count_if(F.col(label) == "ai").alias("a")
     ).first()
-    n = min(sizes["r"] * sizes["a"], max(sizes["r"], sizes["a"]))
-    return labelled(sample_pairs(real, ai, n, f"{seed}|pos", col), 1, "positive")
+    r, a = sizes["r"], sizes["a"]
+    n = min(r * a, max(r, a))
+    return labelled(sample_pairs(real, ai, n, f"{seed}|pos", col, sizes=(r, a)), 1, "positive")
 
 
 def class_negative_pairs(
@@ -130,11 +138,8 @@ def negatives_excluding(
     positives: DataFrame, n: int | None = None, seed: str | int = 42
 ) -> DataFrame:
     """Draws from the pooled tracks minus pairs that are positive in either direction."""
-    pool = (
-        positives.select(F.col("track_a_path").alias("path"))
-        .unionByName(positives.select(F.col("track_b_path").alias("path")))
-        .distinct()
-    )
+    sides = F.explode(F.array("track_a_path", "track_b_path")).alias("path")
+    pool = positives.select(sides).distinct()
     n = positives.count() if n is None else n
     drawn = sample_pairs(pool, pool, n, f"{seed}|excl")
     lo, hi = F.least("track_a_path", "track_b_path"), F.greatest("track_a_path", "track_b_path")

@@ -25,12 +25,11 @@ def all_pairs(
 ) -> DataFrame:
     """Union of every pair set the given catalogues allow; an absent catalogue is skipped.
 
-    The class positives are drawn once and materialised, because their number sets the
-    number of class negatives.
+    The number of class positives drawn sets the number of class negatives.
     """
     parts: list[DataFrame] = []
     if labelled is not None:
-        positives = cut_lineage(ops.class_positive_pairs(labelled, seed))
+        positives = ops.class_positive_pairs(labelled, seed)
         parts += [
             positives,
             ops.class_negative_pairs(labelled, positives.count(), seed),
@@ -50,3 +49,8 @@ def all_pairs(
     if not parts:
         raise ValueError("no catalogue given, so no pairs")
     return ops.union_pairs(*parts)
+
+
+def split_table(pairs: DataFrame, val: float = 0.15, test: float = 0.15, seed: str | int = 42) -> DataFrame:
+    """Pair table with its split. The ranking reads the pairs twice, so they are built once."""
+    return ops.stratified_split(cut_lineage(pairs), val, test, seed)

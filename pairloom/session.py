@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -53,4 +54,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             shared = tempfile.mkdtemp(prefix="pairloom-checkpoint-")
         context.setCheckpointDir(shared)
-    return df.checkpoint()
+    # writing a checkpoint runs the plan again unless its rows are held meanwhile
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint()
+    finally:
+        held.unpersist()
