@@ -271,13 +271,15 @@ QUERIES["e16_assemble_tier2"] = lambda spark, sf: _slots(spark, sf, (2,))
 SQL["e16_assemble_tier2"] = _assembled_sql((2,))
 
 
-def _vectors(spark, sf):
-    out = feature_job.window_vectors(series(spark, sf), w=W, s=S, n=N, hop=HOP, sr=SR)
+def _vectors(spark, sf, path=None):
+    out = feature_job.window_vectors(series(spark, sf), w=W, s=S, n=N, hop=HOP, sr=SR, path=path)
     return _rounded(out.select("track_id", "chunk", F.posexplode("features").alias("slot", "value")))
 
 
 QUERIES["e16_assemble_combined"] = _vectors
 SQL["e16_assemble_combined"] = _assembled_sql((1, 2))
+QUERIES["e16_assemble_by_join"] = lambda spark, sf: _vectors(spark, sf, "join")
+SQL["e16_assemble_by_join"] = SQL["e16_assemble_combined"]
 
 QUERIES["e17_mean_magnitude"] = lambda spark, sf: _rounded(mean_magnitude(_spec(spark, sf)))
 SQL["e17_mean_magnitude"] = FULL + (

@@ -11,11 +11,12 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.spectrum import KEYS, frame_count, frame_rows, power
+from pairloom.operators.spectrum import KEYS, band_power, frame_rows, is_compact, power
 
 TINY = 1e-10
 TOP_DB = 80.0
@@ -105,12 +106,8 @@ def mel_table(n: int, sr: int, bands: int = N_MELS) -> list[tuple[int, int, floa
 
 def mel_bands(spec: DataFrame, n: int, sr: int, bands: int = N_MELS) -> DataFrame:
     """Band power in dB, floored 80 dB below the window's maximum."""
-    filters = _small(spec.sparkSession, mel_table(n, sr, bands), ["bin", "band", "w"])
-    summed = (
-        power(spec).join(filters, "bin").groupBy(*KEYS, "frame", "band")
-        .agg(F.sum(F.col("p") * F.col("w")).alias("_p"))
-    )
-    return _floored(summed.withColumn("value", decibel(F.col("_p"))).drop("_p"), ["value"])
+    summed = band_power(spec, mel_table(n, sr, bands), n)
+    return _floored(summed.withColumn("value", decibel(F.col("value"))), ["value"])
 
 
 def decibel(x: Column) -> Column:
@@ -191,11 +188,7 @@ def pitch_table(n: int, sr: int) -> list[tuple[int, int, float]]:
 
 def chroma(spec: DataFrame, n: int, sr: int) -> DataFrame:
     """Power per pitch class, each frame scaled by its maximum (silent frames stay zero)."""
-    table = _small(spec.sparkSession, pitch_table(n, sr), ["bin", "band", "w"])
-    summed = (
-        power(spec).join(table, "bin").groupBy(*KEYS, "frame", "band")
-        .agg(F.sum(F.col("p") * F.col("w")).alias("value"))
-    )
+    summed = band_power(spec, pitch_table(n, sr), n)
     top = F.max("value").over(Window.partitionBy(*KEYS, "frame"))
     return summed.withColumn("value", F.when(top > 0, F.col("value") / top).otherwise(F.lit(0.0)))
 
@@ -345,39 +338,35 @@ def ssm_novelty(chroma_frames: DataFrame, count: int) -> DataFrame:
 
 def second_spectrum(spec: DataFrame, n: int) -> DataFrame:
     """Magnitude of a transform over the bins of each frame, averaged over frames, as one
-    array per window (at most n/4+1 values)."""
+    array per window (about n/4 values). Takes either form of the spectrum."""
     bins = n // 2 + 1
-    if n <= 256:
+    if is_compact(spec):
+        sized = spec.select(*KEYS, "frame", _bin_transform()("re", "im").alias("_a"))
+        size = sized.select(*KEYS, "frame", F.posexplode("_a").alias("q", "size"))
+    else:
         rows = [
             (k, q, math.cos(2.0 * math.pi * k * q / bins), math.sin(2.0 * math.pi * k * q / bins))
             for k in range(bins)
             for q in range(bins // 2 + 1)
         ]
         table = _small(spec.sparkSession, rows, ["bin", "q", "c", "s"])
-        per_frame = (
+        sums = (
             power(spec).join(table, "bin").groupBy(*KEYS, "frame", "q")
             .agg(F.sum(F.col("mag") * F.col("c")).alias("_c"), F.sum(F.col("mag") * F.col("s")).alias("_s"))
         )
-        size = F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s"))
-        averaged = per_frame.groupBy(*KEYS, "q").agg(F.avg(size).alias("a"))
-        ordered = F.array_sort(F.collect_list(F.struct("q", "a"))).getField("a")
-        return averaged.groupBy(*KEYS).agg(ordered.alias("a"))
-    frames = power(spec).groupBy(*KEYS, "frame").agg(
-        F.array_sort(F.collect_list(F.struct("bin", "mag"))).getField("mag").alias("mags")
-    )
-    sized = frames.select(*KEYS, _bin_transform()("mags").alias("_a"))
-    averaged = sized.select(*KEYS, F.posexplode("_a").alias("q", "_v")).groupBy(*KEYS, "q").agg(F.avg("_v").alias("a"))
+        size = sums.withColumn("size", F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")))
+    averaged = size.groupBy(*KEYS, "q").agg(F.avg("size").alias("a"))
     ordered = F.array_sort(F.collect_list(F.struct("q", "a"))).getField("a")
     return averaged.groupBy(*KEYS).agg(ordered.alias("a"))
 
 
 def _bin_transform():
-    import numpy as np
-
     @F.pandas_udf("array<double>")
-    def transform(mags: pd.Series) -> pd.Series:
-        size = len(mags.iloc[0]) if len(mags) else 0
-        return pd.Series(list(abs(np.fft.rfft(np.stack(mags.to_list()), axis=1)))) if size else mags
+    def transform(re: pd.Series, im: pd.Series) -> pd.Series:
+        if len(re) == 0:
+            return pd.Series([], dtype=object)
+        mags = np.hypot(np.stack(re.to_list()), np.stack(im.to_list()))
+        return pd.Series(list(np.abs(np.fft.rfft(mags, axis=1))))
 
     return transform
 

@@ -103,9 +103,14 @@ def embedding_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(track_id, term, tf) of lower-case words over the whole text."""
+    """(track_id, term, tf) of lower-case words over the whole text.
+
+    Texts are hashed by track before they are cut into words: the counts then need no
+    exchange of their own, and every reader of the counts shares that one.
+    """
     words = F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("term")
-    return docs.select("track_id", words).where(F.col("term") != "").groupBy("track_id", "term").agg(
+    spread = docs.select("track_id", F.col(text)).repartition("track_id")
+    return spread.select("track_id", words).where(F.col("term") != "").groupBy("track_id", "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
 

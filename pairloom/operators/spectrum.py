@@ -23,6 +23,7 @@ HOP = 512
 # a basis of n·(n/2+1) rows is broadcast only up to this frame length (33 024 rows)
 JOIN_LIMIT = 256
 _DIGITS = 9
+MAX_ELEMENTS = 4_000_000
 
 
 def frame_count(w: int, hop: int) -> int:
@@ -63,19 +64,23 @@ def basis(spark: SparkSession, n: int) -> DataFrame:
 def _transform_windows(w: int, n: int, hop: int):
     hann = 0.5 - 0.5 * np.cos(2.0 * math.pi * np.arange(n) / n)
     starts = np.arange(w // hop + 1) * hop
+    # windows transformed together, so that small ones are not handled one by one and large
+    # ones stay within tens of megabytes
+    together = max(1, MAX_ELEMENTS // (len(starts) * n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for track, chunk, samples in zip(batch["track_id"], batch["chunk"], batch["samples"]):
-                x = np.zeros(w + 2 * (n // 2))
-                x[n // 2 : n // 2 + w] = samples
-                frames = np.lib.stride_tricks.sliding_window_view(x, n)[starts] * hann
-                z = np.round(np.fft.rfft(frames, axis=1), _DIGITS)
+            for at in range(0, len(batch), together):
+                part = batch.iloc[at : at + together]
+                x = np.zeros((len(part), w + 2 * (n // 2)))
+                x[:, n // 2 : n // 2 + w] = np.stack(part["samples"].to_list())
+                frames = np.lib.stride_tricks.sliding_window_view(x, n, axis=1)[:, starts] * hann
+                z = np.round(np.fft.rfft(frames, axis=2), _DIGITS).reshape(-1, n // 2 + 1)
                 yield pd.DataFrame(
                     {
-                        "track_id": track,
-                        "chunk": chunk,
-                        "frame": np.arange(len(starts), dtype="int32"),
+                        "track_id": np.repeat(part["track_id"].to_numpy(), len(starts)),
+                        "chunk": np.repeat(part["chunk"].to_numpy(), len(starts)),
+                        "frame": np.tile(np.arange(len(starts), dtype="int32"), len(part)),
                         "re": list(z.real + 0.0),
                         "im": list(z.imag + 0.0),
                     }
@@ -109,14 +114,52 @@ def spectrum(chunks: DataFrame, w: int, n: int = FRAME, hop: int = HOP, path: st
                 F.round(-F.sum(F.col("value") * F.col("s")), _DIGITS).alias("im"),
             )
         )
+    return long_spectrum(spectrum_frames(chunks, w, n, hop))
+
+
+def spectrum_frames(chunks: DataFrame, w: int, n: int = FRAME, hop: int = HOP) -> DataFrame:
+    """Compact form of the spectrum: (track_id, chunk, frame, re array, im array)."""
     types = dict(chunks.dtypes)
     schema = (
         f"track_id {types['track_id']}, chunk {types['chunk']}, frame int, re array<double>, im array<double>"
     )
-    arrays = window_arrays(chunks).mapInPandas(_transform_windows(w, n, hop), schema)
-    return arrays.repartition(*KEYS).select(
-        *KEYS, "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "_z")
-    ).select(*KEYS, "frame", "bin", "_z.re", "_z.im")
+    return window_arrays(chunks).mapInPandas(_transform_windows(w, n, hop), schema).repartition(*KEYS)
+
+
+def long_spectrum(frames: DataFrame) -> DataFrame:
+    return frames.select(*KEYS, "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "_z")).select(
+        *KEYS, "frame", "bin", "_z.re", "_z.im"
+    )
+
+
+def is_compact(spec: DataFrame) -> bool:
+    return dict(spec.dtypes)["re"].startswith("array")
+
+
+def band_power(spec: DataFrame, table: list[tuple[int, int, float]], n: int) -> DataFrame:
+    """Weighted power per band (track_id, chunk, frame, band, value) from either form.
+
+    The long form joins the weights and sums; the compact one multiplies whole batches of
+    frames by the weight matrix. ``table`` is (bin, band, weight).
+    """
+    if not is_compact(spec):
+        weights = pd.DataFrame(table, columns=["bin", "band", "w"])
+        joined = power(spec).join(F.broadcast(spec.sparkSession.createDataFrame(weights)), "bin")
+        return joined.groupBy(*KEYS, "frame", "band").agg(F.sum(F.col("p") * F.col("w")).alias("value"))
+    matrix = np.zeros((n // 2 + 1, max(band for _, band, _ in table) + 1))
+    for k, band, w in table:
+        matrix[k, band] += w
+
+    @F.pandas_udf("array<double>")
+    def project(re: pd.Series, im: pd.Series) -> pd.Series:
+        if len(re) == 0:
+            return pd.Series([], dtype=object)
+        a, b = np.stack(re.to_list()), np.stack(im.to_list())
+        return pd.Series(list((a * a + b * b) @ matrix))
+
+    return spec.select(*KEYS, "frame", project("re", "im").alias("_b")).select(
+        *KEYS, "frame", F.posexplode("_b").alias("band", "value")
+    )
 
 
 def power(spec: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from pairloom.operators import descriptors as d
-from pairloom.operators.spectrum import FRAME, HOP, frame_count, spectrum
+from pairloom.operators.spectrum import FRAME, HOP, frame_count, long_spectrum, spectrum, spectrum_frames
 from pairloom.operators.windows import chunk_rows
 
 RATE = 16000
@@ -19,10 +19,12 @@ TIER1_SIZE = sum(size for _, size in TIER1)
 TIER2_SIZE = sum(size for _, size in TIER2)
 
 
-def tier1_parts(chunks: DataFrame, spec: DataFrame, w: int, n: int, hop: int, sr: int) -> dict[str, DataFrame]:
+def tier1_parts(
+    chunks: DataFrame, compact: DataFrame, spec: DataFrame, w: int, n: int, hop: int, sr: int
+) -> dict[str, DataFrame]:
     count = frame_count(w, hop)
-    mel = d.mel_bands(spec, n, sr)
-    chroma = d.chroma(spec, n, sr)
+    mel = d.mel_bands(compact, n, sr)
+    chroma = d.chroma(compact, n, sr)
     return {
         "cepstrum": d.cepstrum_features(mel, count),
         "mel": d.pool_mean_std(mel, d.N_MELS),
@@ -34,15 +36,17 @@ def tier1_parts(chunks: DataFrame, spec: DataFrame, w: int, n: int, hop: int, sr
     }
 
 
-def tier2_parts(chunks: DataFrame, spec: DataFrame, w: int, n: int, hop: int, sr: int) -> dict[str, DataFrame]:
+def tier2_parts(
+    chunks: DataFrame, compact: DataFrame, spec: DataFrame, w: int, n: int, hop: int, sr: int
+) -> dict[str, DataFrame]:
     count = frame_count(w, hop)
     return {
         "phase": d.phase_summary(spec, count),
         "hnr": d.hnr_slot(chunks),
         "flatness": d.pool_mean_std(d.flatness(spec), 1),
         "rolloff": d.rolloff_ratio(spec, n, sr),
-        "novelty": d.ssm_novelty(d.chroma(spec, n, sr), count),
-        "fourier": d.fourier_artifacts(spec, n, count),
+        "novelty": d.ssm_novelty(d.chroma(compact, n, sr), count),
+        "fourier": d.fourier_artifacts(compact, n, count),
     }
 
 
@@ -58,15 +62,19 @@ def window_slots(
 ) -> tuple[DataFrame, int]:
     """Long feature table (track_id, chunk, slot, value) and its number of slots per window.
 
-    The spectrum is persisted, since every descriptor reads it; a lost block is recomputed
-    from the series.
+    The spectrum is persisted once in its compact form, since every descriptor reads it; a
+    lost block is recomputed from the series. Band sums read that form, the others explode it.
     """
     chunks = chunk_rows(series, w, s).repartition("track_id", "chunk").persist(StorageLevel.MEMORY_AND_DISK)
-    spec = spectrum(chunks, w, n, hop, path).persist(StorageLevel.MEMORY_AND_DISK)
+    if path == "join":
+        compact = spec = spectrum(chunks, w, n, hop, path).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        compact = spectrum_frames(chunks, w, n, hop).persist(StorageLevel.MEMORY_AND_DISK)
+        spec = long_spectrum(compact)
     parts: list[tuple[DataFrame, int]] = []
     for tier, layout, make in ((1, TIER1, tier1_parts), (2, TIER2, tier2_parts)):
         if tier in tiers:
-            made = make(chunks, spec, w, n, hop, sr)
+            made = make(chunks, compact, spec, w, n, hop, sr)
             parts += [(made[name], size) for name, size in layout]
     return d.place(*parts), sum(size for _, size in parts)
 
