@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import r6, with_sql
 from checks.windows import SERIES_SQL, chunks_sql, series
 from pairloom.operators import descriptors as ops
-from pairloom.operators.spectrum import frame_count, mean_magnitude, spectrum
+from pairloom.operators.spectrum import frame_count, mean_magnitude, spectrum, spectrum_frames
 from pairloom.operators.windows import chunk_rows
 from pairloom.plans import feature_job
 
@@ -28,6 +28,10 @@ def _spec(spark, sf):
     return spectrum(_chunks(spark, sf), W, N, HOP)
 
 
+def _compact(spark, sf):
+    return spectrum_frames(_chunks(spark, sf), W, N, HOP)
+
+
 def _rounded(df, digits=DIGITS):
     return df.withColumn("value", r6(F.col("value"), digits))
 
@@ -175,9 +179,9 @@ SQL["e01_pool_mean_std"] = (
     + final("out", 8)
 )
 
-QUERIES["e02_spectrum"] = lambda spark, sf: _spec(spark, sf).withColumn("re", r6(F.col("re"), 4)).withColumn(
-    "im", r6(F.col("im"), 4)
-)
+QUERIES["e02_spectrum"] = lambda spark, sf: spectrum(_chunks(spark, sf), W, N, HOP, "join").withColumn(
+    "re", r6(F.col("re"), 4)
+).withColumn("im", r6(F.col("im"), 4))
 SQL["e02_spectrum"] = FULL + f"SELECT {K}, frame, bin, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM spec"
 
 
@@ -205,21 +209,21 @@ QUERIES["e04_rms"] = lambda spark, sf: _rounded(ops.pool_mean_std(ops.rms(_chunk
 SQL["e04_rms"] = BASE + "," + RMS + "," + pool_sql("out", "rm", 1) + final("out")
 
 QUERIES["e05_cepstrum"] = lambda spark, sf: _rounded(
-    ops.cepstrum_features(ops.mel_bands(_spec(spark, sf), N, SR), T)
+    ops.cepstrum_features(ops.mel_bands(_compact(spark, sf), N, SR), T)
 )
 SQL["e05_cepstrum"] = FULL + "," + MEL + "," + CEP + final("pcep")
 QUERIES["e06_mel_bands"] = lambda spark, sf: _rounded(
-    ops.pool_mean_std(ops.mel_bands(_spec(spark, sf), N, SR), ops.N_MELS)
+    ops.pool_mean_std(ops.mel_bands(_compact(spark, sf), N, SR), ops.N_MELS)
 )
 SQL["e06_mel_bands"] = FULL + "," + MEL + "," + pool_sql("out", "mel", 128) + final("out")
-QUERIES["e07_chroma"] = lambda spark, sf: _rounded(ops.pool_mean_std(ops.chroma(_spec(spark, sf), N, SR), 12))
+QUERIES["e07_chroma"] = lambda spark, sf: _rounded(ops.pool_mean_std(ops.chroma(_compact(spark, sf), N, SR), 12))
 SQL["e07_chroma"] = FULL + "," + CHROMA + "," + pool_sql("out", "chr", 12) + final("out")
 QUERIES["e08_spectral_contrast"] = lambda spark, sf: _rounded(
     ops.pool_mean_std(ops.spectral_contrast(_spec(spark, sf), N, SR), 7)
 )
 SQL["e08_spectral_contrast"] = FULL + "," + CONTRAST + "," + pool_sql("out", "con", 7) + final("out")
 QUERIES["e09_tonal_centroid"] = lambda spark, sf: _rounded(
-    ops.pool_mean_std(ops.tonal_centroid(ops.chroma(_spec(spark, sf), N, SR)), 6)
+    ops.pool_mean_std(ops.tonal_centroid(ops.chroma(_compact(spark, sf), N, SR)), 6)
 )
 SQL["e09_tonal_centroid"] = FULL + "," + CHROMA + "," + TONAL + "," + pool_sql("out", "ton", 6) + final("out")
 QUERIES["e10_phase_summary"] = lambda spark, sf: _rounded(ops.phase_summary(_spec(spark, sf), T))
@@ -232,9 +236,9 @@ QUERIES["e12_flatness"] = lambda spark, sf: _rounded(ops.pool_mean_std(ops.flatn
 SQL["e12_flatness"] = FULL + "," + FLAT + "," + pool_sql("out", "fla", 1) + final("out")
 QUERIES["e13_rolloff_ratio"] = lambda spark, sf: _rounded(ops.rolloff_ratio(_spec(spark, sf), N, SR))
 SQL["e13_rolloff_ratio"] = FULL + "," + ROLL + final("rol")
-QUERIES["e14_ssm_novelty"] = lambda spark, sf: _rounded(ops.ssm_novelty(ops.chroma(_spec(spark, sf), N, SR), T))
+QUERIES["e14_ssm_novelty"] = lambda spark, sf: _rounded(ops.ssm_novelty(ops.chroma(_compact(spark, sf), N, SR), T))
 SQL["e14_ssm_novelty"] = FULL + "," + CHROMA + "," + NOVELTY + final("nov")
-QUERIES["e15_fourier_artifacts"] = lambda spark, sf: _rounded(ops.fourier_artifacts(_spec(spark, sf), N, T))
+QUERIES["e15_fourier_artifacts"] = lambda spark, sf: _rounded(ops.fourier_artifacts(_compact(spark, sf), N, T))
 SQL["e15_fourier_artifacts"] = FULL + "," + FOURIER + final("fou")
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.spectrum import KEYS, band_power, frame_rows, is_compact, power
+from pairloom.operators.spectrum import KEYS, array_udf, band_power, frame_rows, is_compact, power
 
 TINY = 1e-10
 TOP_DB = 80.0
@@ -39,20 +39,11 @@ def _small(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -
     return F.broadcast(spark.createDataFrame(pd.DataFrame(list(rows), columns=list(columns))))
 
 
-def pool_mean_std(frames: DataFrame, bands: int, weight: str | None = None) -> DataFrame:
+def pool_mean_std(frames: DataFrame, bands: int) -> DataFrame:
     """All means, then all population deviations, over the frames of a window."""
-    if weight is None:
-        stats = frames.groupBy(*KEYS, "band").agg(
-            F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s")
-        )
-    else:
-        total, v = F.sum(weight), F.col("value")
-        mean = F.sum(F.col(weight) * v) / total
-        stats = (
-            frames.groupBy(*KEYS, "band")
-            .agg(mean.alias("_m"), (F.sum(F.col(weight) * v * v) / total).alias("_q"))
-            .withColumn("_s", F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0))))
-        )
+    stats = frames.groupBy(*KEYS, "band").agg(
+        F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s")
+    )
     return stats.select(
         *KEYS,
         F.explode(
@@ -122,58 +113,61 @@ def _floored(frames: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def cepstrum(mel: DataFrame, bands: int = N_MELS, coefs: int = N_CEPSTRA) -> DataFrame:
-    """Orthonormal cosine transform over the bands."""
-    rows = [
-        (
-            band, coef,
-            math.cos(math.pi / bands * (band + 0.5) * coef)
-            * math.sqrt(2.0 / bands)
-            * (math.sqrt(0.5) if coef == 0 else 1.0),
-        )
-        for band in range(bands)
-        for coef in range(coefs)
-    ]
-    table = _small(mel.sparkSession, rows, ["band", "coef", "w"])
-    return (
-        mel.join(table, "band").groupBy(*KEYS, "frame", "coef")
-        .agg(F.sum(F.col("value") * F.col("w")).alias("value"))
-        .withColumnRenamed("coef", "band")
+    """Orthonormal cosine transform over the bands: one matrix product per batch of frames."""
+    band, coef = np.meshgrid(np.arange(bands), np.arange(coefs), indexing="ij")
+    matrix = np.cos(math.pi / bands * (band + 0.5) * coef) * math.sqrt(2.0 / bands)
+    matrix[:, 0] *= math.sqrt(0.5)
+    packed = mel.groupBy(*KEYS, "frame").agg(
+        F.array_sort(F.collect_list(F.struct("band", "value"))).getField("value").alias("_m")
+    )
+    return packed.select(*KEYS, "frame", array_udf(lambda m: m @ matrix)("_m").alias("_c")).select(
+        *KEYS, "frame", F.posexplode("_c").alias("band", "value")
     )
 
 
-def delta(frames: DataFrame, count: int, order: int = 1, half: int = DELTA_HALF) -> DataFrame:
-    """Least-squares slope (order 1) or second derivative (order 2) over 2·half+1 frames.
-
-    Near the ends the fit of the first or last full span holds, so its frame gets a weight
-    of half+1. Fewer frames than a span: zeros.
-    """
+def _fit(order: int, half: int) -> Column:
+    """Least-squares slope (order 1) or second derivative (order 2) over 2·half+1 frames."""
     offsets = range(-half, half + 1)
-    if count < 2 * half + 1:
-        return frames.withColumn("value", F.lit(0.0)).withColumn("weight", F.lit(1))
     if order == 1:
-        weights = {j: j / sum(k * k for k in offsets) for j in offsets}
+        weights = {j: j / sum(k * k for k in offsets) for j in offsets if j}
     else:
         mean = sum(k * k for k in offsets) / len(offsets)
         spread = sum((k * k - mean) ** 2 for k in offsets)
         weights = {j: 2.0 * (j * j - mean) / spread for j in offsets}
     over = Window.partitionBy(*KEYS, "band").orderBy("frame")
-    fitted = reduce(
-        lambda a, b: a + b,
-        [F.lit(w) * (F.lead("value", j) if j > 0 else F.lag("value", -j)).over(over) for j, w in weights.items()],
-    )
-    inner = frames.withColumn("value", fitted).where(F.col("frame").between(half, count - 1 - half))
-    ends = (F.col("frame") == half).cast("int") + (F.col("frame") == count - 1 - half).cast("int")
-    return inner.withColumn("weight", F.lit(1) + F.lit(half) * ends)
+    terms = [F.lit(w) * (F.lead("value", j) if j > 0 else F.lag("value", -j)).over(over) for j, w in weights.items()]
+    return reduce(lambda a, b: a + b, terms)
 
 
-def cepstrum_features(mel: DataFrame, count: int, bands: int = N_MELS, coefs: int = N_CEPSTRA) -> DataFrame:
-    base = cepstrum(mel, bands, coefs)
-    parts = [
-        pool_mean_std(base, coefs),
-        pool_mean_std(delta(base, count, 1), coefs, "weight"),
-        pool_mean_std(delta(base, count, 2), coefs, "weight"),
+def cepstrum_features(
+    mel: DataFrame, count: int, bands: int = N_MELS, coefs: int = N_CEPSTRA, half: int = DELTA_HALF
+) -> DataFrame:
+    """Pooled coefficients, first and second deltas, in one pass over the coefficients.
+
+    Near the ends the fit of the first or last full span holds, so its frame counts half+1
+    times. With fewer frames than a span the deltas are zero.
+    """
+    rows = cepstrum(mel, bands, coefs)
+    inner = F.col("frame").between(half, count - 1 - half)
+    ends = (F.col("frame") == half).cast("int") + (F.col("frame") == count - 1 - half).cast("int")
+    enough = count >= 2 * half + 1
+    rows = rows.withColumn("_w", F.when(inner, F.lit(1) + F.lit(half) * ends).otherwise(F.lit(0)))
+    for order in (1, 2):
+        fitted = _fit(order, half) if enough else F.lit(0.0)
+        rows = rows.withColumn(f"_d{order}", F.when(inner, fitted).otherwise(F.lit(0.0)))
+    total = F.greatest(F.sum("_w"), F.lit(1))
+    stats = [F.avg("value").alias("_m0"), F.stddev_pop("value").alias("_s0")]
+    for order in (1, 2):
+        v = F.col(f"_d{order}")
+        mean = F.sum(F.col("_w") * v) / total
+        square = F.sum(F.col("_w") * v * v) / total
+        stats += [mean.alias(f"_m{order}"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias(f"_s{order}")]
+    pooled = rows.groupBy(*KEYS, "band").agg(*stats)
+    slots = [
+        F.struct((F.col("band") + at * coefs).cast("int").alias("slot"), F.col(c).alias("value"))
+        for at, c in enumerate(("_m0", "_s0", "_m1", "_s1", "_m2", "_s2"))
     ]
-    return place(*[(p, 2 * coefs) for p in parts])
+    return pooled.select(*KEYS, F.explode(F.array(*slots)).alias("_r")).select(*KEYS, "_r.slot", "_r.value")
 
 
 def pitch_table(n: int, sr: int) -> list[tuple[int, int, float]]:
@@ -341,7 +335,8 @@ def second_spectrum(spec: DataFrame, n: int) -> DataFrame:
     array per window (about n/4 values). Takes either form of the spectrum."""
     bins = n // 2 + 1
     if is_compact(spec):
-        sized = spec.select(*KEYS, "frame", _bin_transform()("re", "im").alias("_a"))
+        transform = array_udf(lambda re, im: np.abs(np.fft.rfft(np.hypot(re, im), axis=1)))
+        sized = spec.select(*KEYS, "frame", transform("re", "im").alias("_a"))
         size = sized.select(*KEYS, "frame", F.posexplode("_a").alias("q", "size"))
     else:
         rows = [
@@ -360,17 +355,6 @@ def second_spectrum(spec: DataFrame, n: int) -> DataFrame:
     return averaged.groupBy(*KEYS).agg(ordered.alias("a"))
 
 
-def _bin_transform():
-    @F.pandas_udf("array<double>")
-    def transform(re: pd.Series, im: pd.Series) -> pd.Series:
-        if len(re) == 0:
-            return pd.Series([], dtype=object)
-        mags = np.hypot(np.stack(re.to_list()), np.stack(im.to_list()))
-        return pd.Series(list(np.abs(np.fft.rfft(mags, axis=1))))
-
-    return transform
-
-
 def peak_regularity(values: Column, threshold: Column) -> Column:
     """1 / (1 + deviation / mean) of the distances between values above the threshold; 0 for
     two peaks or fewer.

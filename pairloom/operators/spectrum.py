@@ -98,9 +98,8 @@ def window_arrays(chunks: DataFrame) -> DataFrame:
 def spectrum(chunks: DataFrame, w: int, n: int = FRAME, hop: int = HOP, path: str | None = None) -> DataFrame:
     """Spectrum table of dense windows (``chunk_rows`` with padding).
 
-    ``path`` is 'join' or 'fft'; by default the frame length decides.
+    ``path`` is 'fft' (default) or 'join', which suits short frames only.
     """
-    path = path or ("join" if n <= JOIN_LIMIT else "fft")
     if path == "join":
         # hashed by (track, window) once: every later group-by of a descriptor has these
         # keys as a prefix and needs no further exchange
@@ -149,17 +148,26 @@ def band_power(spec: DataFrame, table: list[tuple[int, int, float]], n: int) ->
     matrix = np.zeros((n // 2 + 1, max(band for _, band, _ in table) + 1))
     for k, band, w in table:
         matrix[k, band] += w
+    squares = lambda re, im: re * re + im * im
+    return spec.select(*KEYS, "frame", array_udf(lambda re, im: squares(re, im) @ matrix)("re", "im").alias("_b")).select(
+        *KEYS, "frame", F.posexplode("_b").alias("band", "value")
+    )
+
+
+def array_udf(fn):
+    """Batch function of equally long arrays: matrices (rows x length) in, a matrix out.
+
+    Marked as not repeatable only so that the optimizer does not evaluate it a second time
+    in a filter it derives from the explode.
+    """
 
     @F.pandas_udf("array<double>")
-    def project(re: pd.Series, im: pd.Series) -> pd.Series:
-        if len(re) == 0:
+    def run(*cols: pd.Series) -> pd.Series:
+        if len(cols[0]) == 0:
             return pd.Series([], dtype=object)
-        a, b = np.stack(re.to_list()), np.stack(im.to_list())
-        return pd.Series(list((a * a + b * b) @ matrix))
+        return pd.Series(list(fn(*[np.stack(c.to_list()) for c in cols])))
 
-    return spec.select(*KEYS, "frame", project("re", "im").alias("_b")).select(
-        *KEYS, "frame", F.posexplode("_b").alias("band", "value")
-    )
+    return run.asNondeterministic()
 
 
 def power(spec: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # joins of tables that are both hashed by a prefix of the keys need no new exchange
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # a persisted spectrum keeps its hashing, so descriptors read it without an exchange
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # a window of samples is a wide row: keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
