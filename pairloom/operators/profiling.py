@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.operators.evaluation import bucket_index
+from pairloom.operators.ranking import exact_quantiles
 
 # fixed values: words left out of the word counts
 STOP_WORDS = ("a", "the", "and", "of", "with", "in", "on", "is", "to", "it", "an", "for", "are", "by")
@@ -57,8 +58,10 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = N
 
 
 def numeric_stats(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(
-        F.min(col).alias("low"), F.max(col).alias("high"), F.avg(col).alias("mean"), F.median(col).alias("median")
+    """Minimum, maximum, mean and exact median in one row."""
+    middle = exact_quantiles(df, [], col, [0.5], ["median"]).first()
+    return df.agg(F.min(col).alias("low"), F.max(col).alias("high"), F.avg(col).alias("mean")).withColumn(
+        "median", F.lit(middle["median"]).cast("double")
     )
 
 
@@ -100,14 +103,8 @@ def count_by(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quartiles(df: DataFrame, col: str, group: str) -> DataFrame:
-    """Exact quartiles per group.
-
-    ``percentile`` keeps a count per distinct value and merges partial maps.
-    """
-    q = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group).agg(q.alias("_q")).select(
-        group, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("q2"), F.get("_q", F.lit(2)).alias("q3")
-    )
+    """Exact quartiles per group."""
+    return exact_quantiles(df, [group], col, [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
 
 
 def segment_durations(df: DataFrame, text: str, key: str) -> DataFrame:

@@ -143,3 +143,39 @@ def running_totals(
         *[F.col(f"l.{c}") for c in df.columns],
         *[(F.col(f"l._in_{c}") + F.col(f"r._start_{c}")).alias(out) for c, out in sums.items()],
     )
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], col: str, shares: Sequence[float], names: Sequence[str]
+) -> DataFrame:
+    """Exact interpolated quantiles per key, one column per share.
+
+    ``percentile`` gathers every distinct value of a group in one task. Here equal values are
+    counted map-side, the counts are summed up along the values in slices, and only the rows
+    that cover a wanted position are kept.
+    """
+    keys = list(keys)
+    value = F.col(col).cast("double")
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, value.alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    bounds = depth_bounds(df, F.col(col))
+    summed = running_totals(counts, keys, [F.col("_v")], depth_bucket(F.col("_v"), bounds), {"_n": "_upto"})
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    if keys:
+        placed = summed.alias("l").join(totals.alias("r"), _same_keys("l", "r", keys)).select(
+            *[F.col(f"l.{k}") for k in keys], "_v", "_n", "_upto", "_total"
+        )
+    else:
+        row = totals.first()
+        placed = summed.withColumn("_total", F.lit(row["_total"] if row else None).cast("bigint"))
+    first = F.col("_upto") - F.col("_n")  # positions first .. upto-1, counted from 0
+    aggs, wanted = [], F.lit(False)
+    for share, name in zip(shares, names):
+        at = (F.col("_total") - 1) * F.lit(float(share))
+        low, high = F.floor(at), F.ceil(at)
+        covers = lambda p: (p >= first) & (p < F.col("_upto"))
+        wanted = wanted | covers(low) | covers(high)
+        v_low, v_high = F.max(F.when(covers(low), F.col("_v"))), F.max(F.when(covers(high), F.col("_v")))
+        aggs.append((v_low + (v_high - v_low) * F.max(at - low)).alias(name))
+    return placed.where(wanted).groupBy(*keys).agg(*aggs)

@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from pairloom.operators.ranking import depth_bounds, depth_bucket, exact_rank, first_rows, hash_bucket, running_totals
+from pairloom.operators.ranking import (
+    depth_bounds, depth_bucket, exact_quantiles, exact_rank, first_rows, hash_bucket, running_totals,
+)
 
 
 def skewed(spark, n=3000):
@@ -56,3 +58,14 @@ def test_first_rows_limits_before_the_shuffle(spark):
     out = first_rows(df, ["k"], [F.col("id")], 3)
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 3 * 4
+
+
+def test_exact_quantiles_with_ties_and_nulls(spark):
+    df, rows = skewed(spark, 1000)
+    # one value holds a third of the rows, some are null
+    df = df.withColumn("x", F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 50 != 1, F.col("x")))
+    got = exact_quantiles(df, ["k"], "x", [0.0, 0.25, 0.5, 0.9], ["a", "b", "c", "d"]).collect()
+    want = df.groupBy("k").agg(F.percentile("x", F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.9)])).alias("q")).collect()
+    assert {r["k"]: [round(r[c], 9) for c in "abcd"] for r in got} == {r["k"]: [round(v, 9) for v in r["q"]] for r in want}
+    whole = exact_quantiles(df, [], "x", [0.5], ["m"]).first()["m"]
+    assert whole == df.agg(F.median("x")).first()[0]
