@@ -100,10 +100,15 @@ EVERY = with_sql(CATALOGUE_SQL, RENDITIONS_SQL, ANNOTATED_SQL, POS, NEG, HARD, A
 
 _SPLIT_H = md5_sql("42|split", "track_a_path", "track_b_path", "pair_type")
 SPLIT = EVERY + f""",
-rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_SPLIT_H}, track_a_path, track_b_path, pair_type) AS r,
-   count(*) OVER (PARTITION BY label) AS n FROM allp),
-sq AS (SELECT *, CAST(ceil(round(n * 0.15::DOUBLE, 9)) AS BIGINT) AS nt FROM rk),
-sv AS (SELECT *, CAST(ceil(round((n - nt) * (0.15::DOUBLE / 0.85::DOUBLE), 9)) AS BIGINT) AS nv FROM sq),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_SPLIT_H}, track_a_path, track_b_path, pair_type) AS r FROM allp),
+ct AS (SELECT label, count(*) AS n FROM allp GROUP BY 1),
+t0 AS (SELECT label, n, ceil(round(0.15::DOUBLE * sum(n) OVER (), 9)) AS q, sum(n) OVER () AS tot FROM ct),
+t1 AS (SELECT label, n, q, floor(q * n / tot) AS f, q * n / tot - floor(q * n / tot) AS fr FROM t0),
+t2 AS (SELECT label, n, CAST(f + CASE WHEN row_number() OVER (ORDER BY round(fr, 9) DESC, label) <= q - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS nt FROM t1),
+v0 AS (SELECT label, nt, n - nt AS m, ceil(round(0.15::DOUBLE / 0.85::DOUBLE * sum(n - nt) OVER (), 9)) AS q, sum(n - nt) OVER () AS tot FROM t2),
+v1 AS (SELECT label, nt, q, floor(q * m / tot) AS f, q * m / tot - floor(q * m / tot) AS fr FROM v0),
+v2 AS (SELECT label, nt, CAST(f + CASE WHEN row_number() OVER (ORDER BY round(fr, 9) DESC, label) <= q - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS nv FROM v1),
+sv AS (SELECT rk.*, nt, nv FROM rk JOIN v2 USING (label)),
 sp AS (SELECT track_a_path, track_b_path, label, pair_type,
    CASE WHEN r <= nt THEN 'test' WHEN r <= nt + nv THEN 'val' ELSE 'train' END AS split FROM sv)
 """

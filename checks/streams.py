@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from checks.similarity import A, ARTIFACT, B, _clip_sql, _cos, tier2
 from checks.windows import WINDOWS_SQL
 from pairloom.functions.vectoriser import with_vectoriser
 from pairloom.operators.similarity import artifact_score
+from pairloom.session import shared_folder
 from pairloom.sources import catalogue as files
 from pairloom.sources import schemas
 from pairloom.streaming import jobs
@@ -22,10 +22,8 @@ SQL: dict = {}
 
 
 def scratch(spark) -> str:
-    """New folder for what a query writes: on the cluster's shared storage when it names some."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{shared}/pairloom" if shared else tempfile.mkdtemp(prefix="pairloom-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """New folder for what a query writes, on the cluster's shared storage."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf, name):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,6 +13,8 @@ from pairloom.functions.hashing import hash_hex, hash_int
 from pairloom.operators.ranking import exact_rank, first_rows, hash_bucket
 from pairloom.session import cut_lineage
 
+# fixed values: draws per wanted pair, limits per group, and the pair types written out:
+# positive, negative, hard_negative, fmc_positive
 ATTEMPTS = 5
 HARD_CAP = 50
 MODEL_CAP = 40
@@ -231,6 +234,18 @@ def pair_type_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("pair_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stratum_quotas(sizes: dict, share: float) -> dict:
+    """Whole-table quota ceil(share·N), dealt to strata in proportion by largest remainder."""
+    total = sum(sizes.values())
+    quota = math.ceil(round(total * share, 9))
+    exact = {k: quota * n / max(total, 1) for k, n in sizes.items()}
+    dealt = {k: math.floor(round(x, 9)) for k, x in exact.items()}
+    left = quota - sum(dealt.values())
+    for k in sorted(exact, key=lambda k: (-round(exact[k] - dealt[k], 9), str(k)))[:left]:
+        dealt[k] += 1
+    return dealt
+
+
 def stratified_split(
     pairs: DataFrame,
     val: float = 0.15,
@@ -239,24 +254,27 @@ def stratified_split(
     stratum: str = "label",
     key: Sequence[str] = ("track_a_path", "track_b_path", "pair_type"),
 ) -> DataFrame:
-    """Three-way split with per-stratum quotas: test share first, then val / (1 − test) of the rest.
+    """Three-way split: test share first, then val / (1 − test) of the rest, both stratified.
 
     Rows are ranked per stratum in hash order by the two-level rank, so two strata do not
-    mean two tasks. Quotas round up, as the test side of a library split does.
+    mean two tasks. The quotas come from one count per stratum.
     """
     digest = hash_hex(f"{seed}|split", *[F.col(k) for k in key])
     ranked = exact_rank(
-        pairs, [stratum], [digest, *[F.col(k) for k in key]], hash_bucket(digest),
-        name="_rank", total="_total",
+        pairs, [stratum], [digest, *[F.col(k) for k in key]], hash_bucket(digest), name="_rank"
+    )
+    sizes = {r[0]: r[1] for r in pairs.groupBy(stratum).count().collect()}
+    n_test = stratum_quotas(sizes, test)
+    n_val = stratum_quotas({k: n - n_test[k] for k, n in sizes.items()}, val / (1.0 - test))
+    limit = lambda quota: F.coalesce(
+        *[F.when(F.col(stratum).eqNullSafe(F.lit(k)), F.lit(n)) for k, n in quota.items()], F.lit(0)
     )
-    n_test = F.ceil(F.round(F.col("_total") * test, 9))
-    n_val = F.ceil(F.round((F.col("_total") - n_test) * (val / (1.0 - test)), 9))
     split = (
-        F.when(F.col("_rank") <= n_test, "test")
-        .when(F.col("_rank") <= n_test + n_val, "val")
+        F.when(F.col("_rank") <= limit(n_test), "test")
+        .when(F.col("_rank") <= limit(n_test) + limit(n_val), "val")
         .otherwise("train")
     )
-    return ranked.withColumn("split", split).drop("_rank", "_total")
+    return ranked.withColumn("split", split).drop("_rank")
 
 
 def track_roles(pairs: DataFrame) -> DataFrame:

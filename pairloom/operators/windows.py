@@ -93,7 +93,7 @@ def chunk_rows(
 
 def window_features(events: DataFrame, size: str, slide: str, track: str, time: str, value: str) -> DataFrame:
     """Event-time windows per track: count, mean, deviation, extremes."""
-    window = F.window(F.col(time).cast("timestamp"), size, slide)
+    window = F.window(F.col(time), size, slide)
     return (
         events.groupBy(F.col(track).alias("track_id"), window.alias("_w"))
         .agg(*window_aggregates(F.col(value)))

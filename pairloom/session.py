@@ -41,21 +41,24 @@ def local_session(cpus: str | int | None = None, name: str = "pairloom") -> Spar
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a local one only on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="pairloom-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the folder named by ``spark.checkpoint.dir``.
+    """Materialise ``df`` reliably in the shared checkpoint folder.
 
-    Used where a result is read by several later jobs. The folder must be shared
-    storage on a cluster; only when the session names none (tests) a local one is set.
+    Used where a result is read by several later jobs.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="pairloom-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     # writing a checkpoint runs the plan again unless its rows are held meanwhile
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:

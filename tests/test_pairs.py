@@ -98,3 +98,9 @@ def test_captions(spark):
     got = {r["ytid"]: r["caption"] for r in cat_ops.caption_lookup(cap, "ytid", "caption", "o").collect()}
     assert got == {"k": "two", "n": ""}
     assert cat_ops.caption_lookup(cap.drop("caption"), "ytid", "caption", "o").count() == 0
+
+
+def test_quotas_add_up():
+    assert ops.stratum_quotas({0: 100, 1: 301}, 0.15) == {0: 15, 1: 46}
+    assert ops.stratum_quotas({0: 1}, 0.15) == {0: 1}
+    assert sum(ops.stratum_quotas({0: 7, 1: 7, None: 7}, 0.2).values()) == 5
