@@ -71,10 +71,16 @@ WITH r AS (SELECT o_orderstatus, o_totalprice AS v, min(o_totalprice) OVER () AS
   (max(o_totalprice) OVER () - min(o_totalprice) OVER ()) / 40 AS w FROM orders)
 SELECT o_orderstatus, least(CAST(floor((v - lo) / w) AS INT), 39) AS bin, count(*) AS n FROM r GROUP BY 1, 2"""
 
-_CAPTION = F.when(F.col("doc_id") % 6 == 0, F.lit(None)).when(F.col("doc_id") % 6 == 1, "  ").otherwise(F.col("text"))
+
+
+def _captioned(spark, sf):
+    caption = F.when(F.col("doc_id") % 6 == 0, F.lit(None)).when(F.col("doc_id") % 6 == 1, "  ").otherwise(F.col("text"))
+    return table(spark, sf, "documents").withColumn("text", caption)
+
+
 _WORDS = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"
 QUERIES["i06_text_coverage"] = lambda spark, sf: _round(
-    ops.text_coverage(table(spark, sf, "documents").withColumn("text", _CAPTION), "text"), ["percent", "mean_words"]
+    ops.text_coverage(_captioned(spark, sf), "text"), ["percent", "mean_words"]
 )
 SQL["i06_text_coverage"] = f"""
 SELECT count(*) AS n, count(*) FILTER (has) AS with_text, round(count(*) FILTER (has) * 100.0::DOUBLE / count(*), 6) AS percent,
