@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,15 +38,45 @@ def read_catalogue(spark: SparkSession, path: str, schema: T.StructType) -> Data
     )
 
 
+def _entries(folder: str, recursive: bool) -> list[tuple[str, int, bool]]:
+    """(path, length, is folder) as Spark writes paths."""
+    system, root = pafs.FileSystem.from_uri(folder)
+    at = folder.find(root) if "://" in folder else -1
+    prefix = folder[:at] if at > 0 else "file:"
+    found = system.get_file_info(pafs.FileSelector(root, recursive=recursive, allow_not_found=True))
+    return [
+        (prefix + f.path, f.size or 0, f.type == pafs.FileType.Directory)
+        for f in found
+        if f.type in (pafs.FileType.File, pafs.FileType.Directory)
+    ]
+
+
+def _list_subfolders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for folder in batch["folder"]:
+            files = [(p, n) for p, n, is_folder in _entries(folder, True) if not is_folder]
+            yield pd.DataFrame(files, columns=["path", "length"])
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
-    """File listing (path, length); the content column is pruned and never read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    )
+    """File listing (path, name, length), files of 0 bytes included.
+
+    Spark's file sources leave empty files out, so a file that is there but empty would look
+    missing. The subfolders are listed in tasks; no content is read.
+    """
+    top = _entries(folder, False)
+    files = spark.createDataFrame([(p, n) for p, n, is_folder in top if not is_folder], "path string, length long")
+    folders = [(p,) for p, _, is_folder in top if is_folder]
+    if folders:
+        nested = spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 1000), "folder")
+        files = files.unionByName(nested.mapInPandas(_list_subfolders, "path string, length long"))
+    name = F.element_at(F.split("path", "/"), -1)
+    like = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern)
+    return files.select("path", name.alias("name"), "length").where(F.col("name").rlike(f"^{like}$"))
+
+
+def empty_files(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
+    return list_files(spark, folder, pattern).where("length = 0")
 
 
 def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.sources import schemas
+from pairloom.sources.catalogue import empty_files
 
 _WIDTHS = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}
 HEADER_BYTES = 4096
@@ -74,7 +75,12 @@ def read_signal_blocks(spark: SparkSession, folder: str, sr: int = 16000) -> Dat
         .load(folder)
         .select("path", "content")
     )
-    return files.mapInPandas(_decode_files(sr), _BLOCKS)
+    unreadable = empty_files(spark, folder).select(
+        F.col("path").alias("track_id"), F.lit(0).cast("bigint").alias("start"),
+        F.array().cast("array<double>").alias("samples"), F.lit(0).cast("bigint").alias("n"),
+        F.lit("corrupt (empty file)").alias("error"),
+    )
+    return files.mapInPandas(_decode_files(sr), _BLOCKS).unionByName(unreadable)
 
 
 def ingest_signals(blocks: DataFrame) -> DataFrame:
@@ -124,4 +130,8 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
             F.expr(f"substring(content, 1, {HEADER_BYTES})").alias("head"),
         )
     )
-    return files.mapInPandas(_parse_headers, schemas.HEADERS)
+    known = {"path": F.col("path"), "size": F.col("length"), "readable": F.lit(False)}
+    empty = empty_files(spark, folder).select(
+        *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.HEADERS.fields]
+    )
+    return files.mapInPandas(_parse_headers, schemas.HEADERS).unionByName(empty)

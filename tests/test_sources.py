@@ -57,10 +57,17 @@ def test_headers_and_verdicts(spark, folder):
     assert got["short.wav"][1] == "too short (0.050s, min 0.1s)"
 
 
-def test_listing_reads_no_content(spark, folder):
+def test_listing_has_empty_and_nested_files(spark, folder, tmp_path):
     listing = catalogue.list_files(spark, str(folder))
     assert listing.count() == 7
-    assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    sub = tmp_path / "deep" / "er"
+    sub.mkdir(parents=True)
+    write_wav(sub / "x.wav", np.zeros(10))
+    (tmp_path / "y.txt").write_text("no")
+    rows = catalogue.list_files(spark, str(tmp_path)).collect()
+    assert [(r["name"], r["path"]) for r in rows] == [("x.wav", f"file:{sub}/x.wav")]
+    spark_path = spark.read.format("binaryFile").load(str(sub)).select("path").first()["path"]
+    assert rows[0]["path"] == spark_path
 
 
 def test_missing_catalogue_is_none(spark, tmp_path):
