@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.brown import class_model_scores
+from pairloom.llm.decontamination import contaminated_passages
+from pairloom.llm.licences import SCAN_SQL, licence_scan, notices
+from pairloom.llm.maxscore import top_k_tracks
 from pairloom.llm.packing import pack_tracks
+from pairloom.llm.secrets import announced_labels, secret_candidates, secret_findings
 from pairloom.llm.simhash import near_duplicate_groups
+from pairloom.llm.storage import stored
+from pairloom.llm.toxicity import toxicity_scores
+from pairloom.llm.urls import link_parts, link_verdicts, longest_rule
+
+# fixed values: the rules of op9
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
 
 
 def tracks_of(documents: DataFrame) -> DataFrame:
@@ -20,14 +37,83 @@ def _tracks(spark: SparkSession, sf: str) -> DataFrame:
     return tracks_of(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.coalesce(F.col("track_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op1_secret_findings(spark: SparkSession, sf: str) -> DataFrame:
+    found = stored(secret_candidates(_tracks(spark, sf)))
+    judged = secret_findings(found, announced_labels(found))
+    return judged.select(F.col("track_id").alias("doc_id"), "start", "length", "token_sha256", "probability", "is_secret")
+
+
+def op2_maxscore_top5(spark: SparkSession, sf: str) -> DataFrame:
+    finite = lambda x: F.abs(x) < float("inf")  # noqa: E731  false for NaN, which is larger
+    whole = F.transform("embedding", lambda x: F.when(finite(x), F.floor(F.when(finite(x), x.cast("double")).otherwise(0.0) * 256)))
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("track_id"), whole.alias("vector"))
+    found = top_k_tracks(vectors, vectors.where(F.col("track_id") % 50 == 0))
+    return found.withColumnRenamed("track_id", "vec_id")
+
+
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("track_id"), "toxic")
+    scored = toxicity_scores(_tracks(spark, sf), labels.where(_remainder(4) != 2))
+    return scored.select(F.col("track_id").alias("doc_id"), (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(_tracks(spark, sf)).withColumnRenamed("track_id", "doc_id")
 
 
+def op6_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
+    tracks = _tracks(spark, sf)
+    scored = class_model_scores(tracks, tracks.where(_remainder(5) != 1))
+    return scored.withColumn("held_out", _remainder(5) == 1).withColumnRenamed("track_id", "doc_id")
+
+
 def op7_pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
     packed = pack_tracks(_tracks(spark, sf))
     return packed.withColumnsRenamed({"track_id": "doc_id", "track_tokens": "doc_tokens"})
 
 
-QUERIES = {"op5_simhash_groups": op5_simhash_groups, "op7_pack_sequences": op7_pack_sequences}
-SQL: dict[str, str] = {}
+def op8_licence_digests(spark: SparkSession, sf: str) -> DataFrame:
+    found = licence_scan(_tracks(spark, sf), notices(spark))
+    return found.withColumnsRenamed({"track_id": "doc_id", "licence_id": "license_id"})
+
+
+def op9_url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages that a rule decides are the labelled ones; the trees judge the others."""
+    links = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("track_id"), "url")
+    _, said = longest_rule(*link_parts(F.col("url")), URL_RULES)
+    labelled = links.select("url", (said == "block").cast("int").alias("blocked"))
+    return link_verdicts(links, labelled, URL_RULES).withColumnRenamed("track_id", "page_id")
+
+
+def op10_benchmark_passages(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    found = contaminated_passages(_tracks(spark, sf), items)
+    return found.drop("text_key").withColumnRenamed("track_id", "doc_id")
+
+
+QUERIES = {
+    "op1_secret_findings": op1_secret_findings,
+    "op2_maxscore_top5": op2_maxscore_top5,
+    "op4_toxicity": op4_toxicity,
+    "op5_simhash_groups": op5_simhash_groups,
+    "op6_brown_scores": op6_brown_scores,
+    "op7_pack_sequences": op7_pack_sequences,
+    "op8_licence_digests": op8_licence_digests,
+    "op9_url_verdicts": op9_url_verdicts,
+    "op10_benchmark_passages": op10_benchmark_passages,
+}
+SQL = {
+    "op2_maxscore_top5": """WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
+    "op8_licence_digests": SCAN_SQL,
+}
