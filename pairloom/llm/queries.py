@@ -10,6 +10,7 @@ from pairloom.llm.decontamination import contaminated_passages
 from pairloom.llm.licences import SCAN_SQL, licence_scan, notices
 from pairloom.llm.maxscore import top_k_tracks
 from pairloom.llm.packing import pack_tracks
+from pairloom.llm.repeats import without_repeats
 from pairloom.llm.secrets import announced_labels, secret_candidates, secret_findings
 from pairloom.llm.simhash import near_duplicate_groups
 from pairloom.llm.storage import stored
@@ -55,6 +56,14 @@ def op2_maxscore_top5(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnRenamed("track_id", "vec_id")
 
 
+def op3_repeated_strings(spark: SparkSession, sf: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.start)
+    return without_repeats(_tracks(spark, sf)).select(
+        F.col("track_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("track_id"), "toxic")
     scored = toxicity_scores(_tracks(spark, sf), labels.where(_remainder(4) != 2))
@@ -98,6 +107,7 @@ def op10_benchmark_passages(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_secret_findings": op1_secret_findings,
     "op2_maxscore_top5": op2_maxscore_top5,
+    "op3_repeated_strings": op3_repeated_strings,
     "op4_toxicity": op4_toxicity,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_brown_scores": op6_brown_scores,
