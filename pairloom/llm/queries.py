@@ -64,9 +64,13 @@ def op3_repeated_strings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+def training_labels(spark: SparkSession, sf: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("track_id"), "toxic")
-    scored = toxicity_scores(_tracks(spark, sf), labels.where(_remainder(4) != 2))
+    return labels.where(_remainder(4) != 2)
+
+
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    scored = toxicity_scores(_tracks(spark, sf), training_labels(spark, sf))
     return scored.select(F.col("track_id").alias("doc_id"), (_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 

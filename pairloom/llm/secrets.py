@@ -138,12 +138,12 @@ def announced_labels(found: DataFrame) -> DataFrame:
     return found.select("track_id", "start", secret.alias("secret")).where("secret is not null")
 
 
-def redacted(tracks: DataFrame, findings: DataFrame, text: str = "lyrics") -> DataFrame:
+def redacted(tracks: DataFrame, findings: DataFrame, text: str = "lyrics", track_id: str = "track_id") -> DataFrame:
     """``tracks`` with every secret of ``findings`` in ``text`` replaced; all rows and columns stay."""
-    spans = findings.where("is_secret = 1").groupBy(F.col("track_id").alias("t"), F.col("text_key").alias("k"))
-    spans = spans.agg(F.collect_set(F.struct("start", "length")).alias("spans"))
-    keyed = tracks.withColumn("_key", F.xxhash64(text))
-    joined = keyed.join(spans, F.col("track_id").cast("long").eqNullSafe(F.col("t")) & (F.col("_key") == F.col("k")), "left")
+    by_text = findings.where("is_secret = 1").groupBy(F.col("track_id").alias("_secret_track"), F.col("text_key").alias("_secret_text"))
+    by_text = by_text.agg(F.collect_set(F.struct("start", "length")).alias("_secret_spans"))
+    same = F.col(track_id).cast("long").eqNullSafe(F.col("_secret_track")) & (F.xxhash64(text) == F.col("_secret_text"))
+    joined = tracks.join(by_text, same, "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -158,5 +158,5 @@ def redacted(tracks: DataFrame, findings: DataFrame, text: str = "lyrics") -> Da
 
         return texts.combine(spans, one)
 
-    changed = F.when(F.col("spans").isNotNull(), cut(F.col(text), F.col("spans"))).otherwise(F.col(text))
+    changed = F.when(F.col("_secret_spans").isNotNull(), cut(F.col(text), F.col("_secret_spans"))).otherwise(F.col(text))
     return joined.withColumn(text, changed).select(*tracks.columns)

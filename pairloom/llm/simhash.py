@@ -43,14 +43,14 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(text.as_py()) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["track_id", "fp"])
+        prints = [fingerprint(text.as_py()) for text in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.int64())], ["track_id", "text_key", "fp"])
 
 
 def fingerprints(tracks: DataFrame, text: str = "lyrics") -> DataFrame:
-    """(track_id, fp): a 64-bit fingerprint of every whole text."""
-    rows = tracks.select(F.col("track_id").cast("long"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "track_id long, fp long")
+    """(track_id, text_key, fp): a 64-bit fingerprint of every whole text; text_key is a hash of its bytes."""
+    rows = tracks.select(F.col("track_id").cast("long"), F.xxhash64(text).alias("text_key"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints, "track_id long, text_key long, fp long")
 
 
 def _bits(mask: int) -> Column:
@@ -170,6 +170,15 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return links
 
 
+def _grouped(tracks: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The tracks' fingerprints, and per distinct one (fp, first track_id, root: the smallest that it can reach)."""
+    prints = stored(fingerprints(tracks, text))
+    distinct = stored(prints.groupBy("fp").agg(F.min("track_id").alias("first")))
+    roots = connected_components(fingerprint_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    placed = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return prints, stored(placed)
+
+
 def near_duplicate_groups(tracks: DataFrame, text: str = "lyrics") -> DataFrame:
     """(track_id, fingerprint, component_id) of every track by its whole ``text``.
 
@@ -179,12 +188,22 @@ def near_duplicate_groups(tracks: DataFrame, text: str = "lyrics") -> DataFrame:
     without track_id get the component of their fingerprint, null if no row of the component has an id.
     Repeated rows stay. Extra columns are ignored.
     """
-    prints = stored(fingerprints(tracks, text))
-    distinct = stored(prints.groupBy("fp").agg(F.min("track_id").alias("first")))
-    roots = connected_components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
-    placed = stored(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    prints, placed = _grouped(tracks, text)
     least = stored(placed.groupBy("root").agg(F.min("first").alias("component_id")))
     named = stored(placed.join(least, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select(
         "track_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def first_of_groups(tracks: DataFrame, text: str = "lyrics") -> DataFrame:
+    """(track_id, text_key) of the one track that stays of every group of near-duplicates.
+
+    It is the one with the smallest track_id, one without id only where the group has no other; of rows
+    that share it, the one with the smallest hash of its text.
+    """
+    prints, placed = _grouped(tracks, text)
+    first = F.min(F.struct(F.col("track_id").isNull().alias("nameless"), "track_id", "text_key")).alias("kept")
+    by_print = stored(prints.groupBy("fp").agg(first))
+    kept = by_print.join(placed, "fp").groupBy("root").agg(F.min("kept").alias("kept"))
+    return stored(kept.select("kept.track_id", "kept.text_key"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.storage import stored
@@ -146,16 +147,15 @@ def _inputs(hits: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(counts), np.log1p(found), np.log1p(share), rest], -1)
 
 
-def toxicity_scores(
-    tracks: DataFrame, labels: DataFrame, text: str = "lyrics", max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD,
-) -> DataFrame:
-    """(track_id, score, predicted) of every whole text; score in 0..1, higher for texts likelier toxic.
+def toxicity_scorer(
+    tracks: DataFrame, labels: DataFrame, text: str = "lyrics", max_labelled: int = MAX_LABELLED
+) -> Callable[[Column], Column]:
+    """Learns from the labelled ``tracks``; gives a function from a text column to its score in 0..1.
 
     ``labels`` (track_id, toxic 0/1) is sampled by hash to about ``max_labelled`` tracks, equal texts
     count once. From the sample come the lexicons, whose voters and the pattern voters a generative model weighs;
-    its posterior labels train a logistic regression, which scores all tracks in one pass without a
-    shuffle. Labels of one kind only give that kind's score (0 or 1) to all, no labels give 0. Null texts are
-    empty and are scored; rows without track_id and repeated rows are kept; null labels are left out.
+    its posterior labels train a logistic regression. Labels of one kind only give that kind's score
+    (0 or 1) to all, no labels give 0. Null labels are left out.
     """
     rows = tracks.select(F.col("track_id").cast("long"), F.col(text).cast("binary").alias("text"))
     known = labels.where(F.col("track_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("track_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -167,8 +167,7 @@ def toxicity_scores(
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
-        score = F.lit(1.0 if n_toxic else 0.0)
-        return rows.select("track_id", score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+        return lambda column: F.lit(1.0 if n_toxic else 0.0)
     lexicons = mined_lexicons(sample, n_toxic, n_clean)
     gate = _gate(lexicons)
 
@@ -189,12 +188,23 @@ def toxicity_scores(
     weights = linear.coefficients.toArray() / spread
     base = float(linear.intercept - weights @ middle)
 
-    def score_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([votes(t.as_py(), lexicons, gate) for t in batch.column(1)]).reshape(batch.num_rows, -1)
-            odds = _inputs(found) @ weights + base if batch.num_rows else np.empty(0)
-            scores = 1 / (1 + np.exp(-odds.clip(-30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["track_id", "score"])
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        found = np.array([votes(t, lexicons, gate) for t in texts]).reshape(len(texts), -1)
+        odds = _inputs(found) @ weights + base if len(texts) else np.empty(0)
+        return pd.Series(1 / (1 + np.exp(-odds.clip(-30, 30))))
+
+    return lambda column: score(column.cast("binary"))
+
 
-    scored = rows.mapInArrow(score_texts, "track_id long, score double")
+def toxicity_scores(
+    tracks: DataFrame, labels: DataFrame, text: str = "lyrics", max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """(track_id, score, predicted) of every whole text; predicted is 1 from ``threshold`` on.
+
+    All tracks are scored in one pass without a shuffle by ``toxicity_scorer``. Null texts are empty and
+    are scored; rows without track_id and repeated rows are kept. Extra columns are ignored.
+    """
+    scorer = toxicity_scorer(tracks, labels, text, max_labelled)
+    scored = tracks.select(F.col("track_id").cast("long"), scorer(F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
