@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.storage import stored
+
 # fixed values: spellings that mean the same, written out as found and as kept
 SPELLINGS = (
     ("licence", "license"),
@@ -30,21 +32,29 @@ NOTICES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
 )
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(?m)^[ \t*#/-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"^[ \t*#/-]*(copyright|\(c\)|©|all rights reserved)"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower-case A-Z, no copyright lines, one spelling, one space for every run of punctuation and white space.
+def canonical_lines(text: Column) -> Column:
+    """Lines in lower case and one spelling, with one space for every run of punctuation and white space.
 
-    Null counts as empty.
+    Copyright lines are empty. Null counts as an empty text.
     """
-    out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.regexp_replace(out, F.lit(COPYRIGHT_LINE), F.lit(""))
+    out = F.lower(F.coalesce(text, F.lit("")))
     for found, kept in SPELLINGS:
         out = F.replace(out, F.lit(found), F.lit(kept))
-    return F.trim(F.regexp_replace(out, F.lit(PUNCTUATION), F.lit(" ")))
+
+    def words(line: Column) -> Column:
+        return F.when(line.rlike(COPYRIGHT_LINE), "").otherwise(F.trim(F.regexp_replace(line, PUNCTUATION, " ")))
+
+    return F.transform(F.split(out, "\n"), words)
+
+
+def with_canonical(texts: DataFrame, text: str) -> DataFrame:
+    """Adds lines, the canonical lines with words, and whole, all of them in a row."""
+    lines = F.filter(canonical_lines(F.col(text)), lambda x: x != "")
+    return texts.withColumn("lines", lines).withColumn("whole", F.array_join("lines", " "))
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -60,22 +70,24 @@ def licence_scan(tracks: DataFrame, licences: DataFrame, text: str = "lyrics") -
     licences with one canonical form the smallest id counts, those without words are left out. Null texts
     are empty. Rows without track_id and repeated rows are kept. Extra columns are ignored.
     """
-    digest = lambda c: F.sha2(canonical(c), 256)
-    known = (
-        licences.where(F.col("licence_id").isNotNull() & (canonical(F.col("text")) != ""))
-        .groupBy(digest(F.col("text")).alias("digest"))
-        .agg(F.min("licence_id").alias("licence_id"))
+    known = with_canonical(licences.where("licence_id is not null").select("licence_id", F.col("text").alias("_t")), "_t")
+    known = stored(
+        known.where("whole <> ''").groupBy("whole").agg(F.min("licence_id").alias("licence_id"))
+        .select(F.sha2("whole", 256).alias("digest"), "licence_id", F.length("whole").alias("size"))
     )
-    whole = tracks.select("track_id", digest(F.col(text)).alias("text_sha256"))
-    lines = tracks.select("track_id", digest(F.col(text)).alias("text_sha256"), F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line"))
+    longest = known.agg(F.coalesce(F.max("size"), F.lit(0)).alias("n")).first()["n"]
+    known = known.drop("size")
+    short = F.filter("lines", lambda x: F.length(x) <= longest)  # a longer line is none of them
+    read = with_canonical(tracks.select("track_id", F.col(text).alias("_t")), "_t")
+    whole = stored(read.select("track_id", F.sha2("whole", 256).alias("text_sha256"), F.transform(F.array_distinct(short), lambda x: F.sha2(x, 256)).alias("digests")))
     named = (
-        lines.where("line <> ''").select("track_id", "text_sha256", digest(F.col("line")).alias("digest"))
+        whole.select("track_id", "text_sha256", F.explode("digests").alias("digest"))
         .join(known, "digest")
         .groupBy(F.col("track_id").alias("t"), F.col("text_sha256").alias("s"))
         .agg(F.array_sort(F.collect_set("licence_id")).alias("found"))
     )
     of_text = known.select(F.col("digest").alias("text_sha256"), "licence_id")
-    out = whole.join(of_text, "text_sha256", "left")
+    out = whole.drop("digests").join(of_text, "text_sha256", "left")
     out = out.join(named, F.col("track_id").eqNullSafe(F.col("t")) & (F.col("text_sha256") == F.col("s")), "left")
     return out.select(
         "track_id", "text_sha256", "licence_id",
@@ -85,10 +97,10 @@ def licence_scan(tracks: DataFrame, licences: DataFrame, text: str = "lyrics") -
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
-    out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', '', 'g')"
+    out = f"lower(coalesce({text}, ''))"
     for found, kept in SPELLINGS:
         out = f"replace({out}, '{found}', '{kept}')"
+    out = f"regexp_replace({out}, '(?m){COPYRIGHT_LINE}[^\\n]*$', '', 'g')"
     return f"trim(regexp_replace({out}, '{PUNCTUATION}', ' ', 'g'))"
 
 
