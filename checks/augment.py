@@ -45,8 +45,8 @@ SQL["j03_gain"] = with_sql(SERIES_SQL) + (
 
 
 def normal_sql(seed: str, *cols: str) -> str:
-    u = f"(({int_sql(seed + '|u', *cols)} + 1) / 4294967296.0::DOUBLE)"
-    v = f"({int_sql(seed + '|v', *cols)} / 4294967296.0::DOUBLE)"
+    u = f"(({int_sql(seed + '|u', *cols)} + 1) / 1152921504606846976.0::DOUBLE)"
+    v = f"({int_sql(seed + '|v', *cols)} / 1152921504606846976.0::DOUBLE)"
     return f"(sqrt(-2 * ln({u})) * cos(2 * pi() * {v}))"
 
 

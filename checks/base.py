@@ -20,11 +20,11 @@ def md5_sql(seed: str, *cols: str) -> str:
 
 
 def int_sql(seed: str, *cols: str) -> str:
-    return f"CAST('0x' || substr({md5_sql(seed, *cols)}, 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr({md5_sql(seed, *cols)}, 1, 15) AS BIGINT)"
 
 
 def unit_sql(seed: str, *cols: str) -> str:
-    return f"({int_sql(seed, *cols)} / 4294967296.0)"
+    return f"({int_sql(seed, *cols)} / 1152921504606846976.0::DOUBLE)"
 
 
 def values_sql(rows, columns: str, name: str) -> str:

@@ -19,7 +19,6 @@ from pairloom.operators.ranking import running_totals
 from pairloom.session import cut_lineage
 
 BLOCK = 8192
-TAP_LIMIT = 64
 NOISE_BUCKET = 65536
 _COLS = ("track_id", "pos", "value", "n")
 
@@ -177,14 +176,13 @@ def _convolve_blocks(taps: np.ndarray):
 
 
 def convolve(
-    series: DataFrame, kernel: list[tuple[int, float]], wet: Column | float, path: str | None = None
+    series: DataFrame, kernel: list[tuple[int, float]], wet: Column | float, path: str = "blocks"
 ) -> DataFrame:
     """(1 − wet)·x + wet·(x * h), cut to the length of x.
 
-    Short kernels expand each sample over the taps; long ones transform blocks of samples
-    and add the overlapping tails. Both end in one sum per (track, position).
+    Blocks of samples are transformed and the overlapping tails added, for kernels of all lengths; ``path``
+    'taps' names the expansion of each sample over the taps. Both end in one sum per (track, position).
     """
-    path = path or ("taps" if len(kernel) <= TAP_LIMIT else "blocks")
     if path == "taps":
         share = lambda k, h: F.struct(F.lit(k).alias("k"), h.alias("h"))
         dry = share(0, F.lit(1.0) - _col(wet))

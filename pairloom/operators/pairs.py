@@ -162,6 +162,27 @@ def shared_key(filename: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(filename, r"([^_]*)$", 1), r"\.wav", "")
 
 
+def pairs_below(h: Column) -> Column:
+    """h·(h − 1) / 2 in integers; the even factor is halved first, so it holds up to 3·10⁹."""
+    half = F.when(h % 2 == 0, h).otherwise(h - 1)
+    return F.shiftright(half, 1) * F.when(h % 2 == 0, h - 1).otherwise(h)
+
+
+def ranks_of_combination(t: Column) -> tuple[Column, Column]:
+    """Combination number t -> (lo, hi) with 1 <= lo < hi, numbered hi-major.
+
+    t = (hi − 1)(hi − 2) / 2 + (lo − 1). The floating-point root is at most one off and is set right by
+    exact comparison.
+    """
+    root = F.floor((F.sqrt(t.cast("double") * 8 + 1) + 1) / 2).cast("bigint")
+    h = (
+        F.when(pairs_below(root) > t, root - 1)
+        .when(pairs_below(root + 1) <= t, root + 1)
+        .otherwise(root)
+    )
+    return t - pairs_below(h) + 1, h + 1
+
+
 def shared_key_positives(
     df: DataFrame,
     key: Column,
@@ -179,12 +200,11 @@ def shared_key_positives(
     rows = df.select(key.alias("_key"), F.col(col).alias("_p"))
     digest = hash_hex(f"{seed}|shared", F.col("_p"))
     ranked = exact_rank(rows, ["_key"], [digest, F.col("_p")], hash_bucket(digest), name="_rn")
-    m = (F.col("_n") * (F.col("_n") - 1)) / 2
     sizes = (
         rows.groupBy("_key")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= 2)
-        .withColumn("_m", m.cast("bigint"))
+        .withColumn("_m", pairs_below(F.col("_n")))
         .withColumn("_start", hash_int(f"{seed}|start", F.col("_key")) % F.col("_m"))
         .withColumn("_take", F.least(F.col("_m"), F.lit(cap)))
     )
@@ -192,22 +212,10 @@ def shared_key_positives(
         "_key", "_m", "_start", "_take", F.explode(F.expr("sequence(0L, _take - 1)")).alias("_j")
     ).select(
         "_key",
-        ((F.col("_start") + F.col("_j") * F.floor(F.col("_m") / F.col("_take"))) % F.col("_m")).alias("_t"),
-    )
-    # combination number t -> (lo, hi) with 1 <= lo < hi, numbered hi-major:
-    # t = (hi-1)(hi-2)/2 + (lo-1); the float root is corrected by one step either way
-    root = F.floor((F.sqrt(F.col("_t") * 8 + 1) + 1) / 2).cast("bigint")
-    base = lambda h: (h * (h - 1) / 2).cast("bigint")
-    fixed = (
-        F.when(base(root) > F.col("_t"), root - 1)
-        .when(base(root + 1) <= F.col("_t"), root + 1)
-        .otherwise(root)
-    )
-    picks = picks.withColumn("_h", fixed).select(
-        "_key",
-        (F.col("_t") - base(F.col("_h")) + 1).alias("_lo"),
-        (F.col("_h") + 1).alias("_hi"),
+        ((F.col("_start") + F.col("_j") * F.expr("_m div _take")) % F.col("_m")).alias("_t"),
     )
+    low, high = ranks_of_combination(F.col("_t"))
+    picks = picks.select("_key", low.alias("_lo"), high.alias("_hi"))
     a = ranked.select("_key", F.col("_rn").alias("_lo"), F.col("_p").alias("track_a_path"))
     b = ranked.select("_key", F.col("_rn").alias("_hi"), F.col("_p").alias("track_b_path"))
     pairs = picks.join(a, ["_key", "_lo"]).join(b, ["_key", "_hi"])

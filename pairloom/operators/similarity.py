@@ -24,7 +24,6 @@ WEIGHTS = {
 ARTIFACT_WEIGHTS = (0.15, 0.15, 0.10, 0.10, 0.50)
 ATTRIBUTION_THRESHOLD = 0.65
 MAX_STRUCTURE = 200
-MAX_FOLD = 200
 TINY = 1e-10
 A, B = "track_a_path", "track_b_path"
 
@@ -307,12 +306,12 @@ def _alignment_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterat
         yield pd.Series(out)
 
 
-def melodic_similarity(pairs: DataFrame, frames: DataFrame, path: str | None = None) -> DataFrame:
+def melodic_similarity(pairs: DataFrame, frames: DataFrame, path: str = "arrow") -> DataFrame:
     """Warped alignment of two frame sequences: 1 − cost / (n + m), clipped; fewer than two
     frames on a side gives 0.
 
-    Pairs with both sides up to 200 frames are folded inside the plan; longer ones go
-    through Arrow batches. ``path`` 'fold' or 'arrow' forces one of them.
+    Sequences of all lengths are aligned in Arrow batches; ``path`` 'fold' names the same alignment as
+    a fold inside the plan.
     """
     joined = both_sides(pairs.select(A, B).distinct(), frame_arrays(frames), ["frames", "t"])
     short = (F.col("t_a") < 2) | (F.col("t_b") < 2)
@@ -324,12 +323,7 @@ def melodic_similarity(pairs: DataFrame, frames: DataFrame, path: str | None = N
         out = df.withColumn("_cost", cost)
         return out.select(A, B, F.when(short, F.lit(0.0)).otherwise(value).alias("melodic"))
 
-    if path == "fold":
-        return scored(joined, cost_fold)
-    if path == "arrow":
-        return scored(joined, arrow)
-    fits = F.greatest("t_a", "t_b") <= MAX_FOLD
-    return scored(joined.where(fits), cost_fold).unionByName(scored(joined.where(~fits), arrow))
+    return scored(joined, cost_fold if path == "fold" else arrow)
 
 
 def artifact_score(vec: Column) -> Column:

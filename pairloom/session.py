@@ -41,14 +41,18 @@ def local_session(cpus: str | int | None = None, name: str = "pairloom") -> Spar
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only on a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one of its own for a local application."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
         return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="pairloom-")
+    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="pairloom-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

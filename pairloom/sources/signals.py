@@ -3,34 +3,78 @@
 from __future__ import annotations
 
 import io
-import wave
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.sources import schemas
 from pairloom.sources.catalogue import empty_files
 
-_WIDTHS = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}
-HEADER_BYTES = 4096
 BLOCK = 65536
+# fixed values: format tags of the file header
+INTEGER, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+
+
+@dataclass
+class Wave:
+    """What the header of a file says; ``data`` is where the samples begin."""
+
+    tag: int
+    channels: int
+    rate: int
+    width: int
+    data: int
+    size: int
+
+    @property
+    def frames(self) -> int:
+        return self.size // (self.channels * self.width)
+
+
+def wave_header(f: BinaryIO) -> Wave:
+    """Walks the chunks up to the samples, however far behind they lie; no sample is read."""
+    head = f.read(12)
+    if head[:4] != b"RIFF" or head[8:] != b"WAVE":
+        raise ValueError("not a WAVE file")
+    layout = None
+    while len(chunk := f.read(8)) == 8:
+        name, size = struct.unpack("<4sI", chunk)
+        if name == b"data":
+            if layout is None:
+                raise ValueError("samples before their format")
+            return Wave(*layout, f.tell(), size)
+        body = f.read(min(size, 40)) if name == b"fmt " else b""
+        if body:
+            tag, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
+            tag = struct.unpack("<H", body[24:26])[0] if tag == EXTENSIBLE and len(body) >= 26 else tag
+            if tag not in (INTEGER, FLOAT) or not channels or not rate or bits not in (8, 16, 24, 32, 64):
+                raise ValueError(f"unknown sample format (tag {tag}, {bits} bits, {channels} channels)")
+            layout = (tag, channels, rate, bits // 8)
+        f.seek(size + size % 2 - len(body), io.SEEK_CUR)
+    raise ValueError("no samples")
 
 
 def _samples(data: bytes) -> tuple[np.ndarray, int]:
-    with wave.open(io.BytesIO(data)) as f:
-        width, channels, rate = f.getsampwidth(), f.getnchannels(), f.getframerate()
-        raw = f.readframes(f.getnframes())
-    if width == 3:
+    found = wave_header(io.BytesIO(data))
+    raw = data[found.data : found.data + found.size]
+    raw = raw[: len(raw) - len(raw) % (found.channels * found.width)]
+    if found.tag == FLOAT:
+        values = np.frombuffer(raw, f"<f{found.width}").astype(np.float64)
+    elif found.width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         values = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2.0**23
-    elif width == 1:
+    elif found.width == 1:
         values = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128.0) / 128.0
     else:
-        values = np.frombuffer(raw, _WIDTHS[width]) / 2.0 ** (8 * width - 1)
-    return values.reshape(-1, channels).mean(axis=1), rate
+        values = np.frombuffer(raw, f"<i{found.width}") / 2.0 ** (8 * found.width - 1)
+    return values.reshape(-1, found.channels).mean(axis=1), found.rate
 
 
 def _decode_files(sr: int):
@@ -97,19 +141,19 @@ def quarantine(blocks: DataFrame) -> DataFrame:
 def _parse_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for path, size, head in zip(batch["path"], batch["size"], batch["head"]):
+        for path, size in zip(batch["path"], batch["size"]):
             row = {
                 "path": path, "size": size, "readable": False, "error": None,
                 "sample_rate": None, "channels": None, "duration": None,
             }
             try:
-                with wave.open(io.BytesIO(bytes(head))) as f:
-                    rate = f.getframerate()
-                    # the data chunk may be longer than what was read: its length is in the header
-                    row.update(
-                        readable=True, sample_rate=rate, channels=f.getnchannels(),
-                        duration=f.getnframes() / rate,
-                    )
+                store, inside = fs.FileSystem.from_uri(path)
+                with store.open_input_file(inside) as f:
+                    found = wave_header(f)
+                row.update(
+                    readable=True, sample_rate=found.rate, channels=found.channels,
+                    duration=found.frames / found.rate,
+                )
             except Exception as problem:
                 row["error"] = str(problem) or type(problem).__name__
             rows.append(row)
@@ -118,17 +162,13 @@ def _parse_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """Header facts per file; only the first bytes travel to the Python worker."""
+    """Header facts per file; tasks open each file and seek from chunk to chunk, contents are not read."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.wav")
         .option("recursiveFileLookup", True)
         .load(folder)
-        .select(
-            "path",
-            F.col("length").alias("size"),
-            F.expr(f"substring(content, 1, {HEADER_BYTES})").alias("head"),
-        )
+        .select("path", F.col("length").alias("size"))
     )
     known = {"path": F.col("path"), "size": F.col("length"), "readable": F.lit(False)}
     empty = empty_files(spark, folder).select(

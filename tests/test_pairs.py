@@ -104,3 +104,13 @@ def test_quotas_add_up():
     assert ops.stratum_quotas({0: 100, 1: 301}, 0.15) == {0: 15, 1: 46}
     assert ops.stratum_quotas({0: 1}, 0.15) == {0: 1}
     assert sum(ops.stratum_quotas({0: 7, 1: 7, None: 7}, 0.2).values()) == 5
+
+
+def test_combination_numbers_of_very_large_keys(spark):
+    sizes = [2, 3, 5, 92_683, 200_000_000, 1_000_000_000, 3_000_000_000]
+    numbers = {t for n in sizes for m in [n * (n - 1) // 2] for t in (0, 1, m // 3, m // 2, m - 2, m - 1) if 0 <= t < m}
+    numbers |= {h * (h - 1) // 2 + d for h in (94_906_266, 999_999_999, 2_147_483_648) for d in (-1, 0, 1)}
+    low, high = ops.ranks_of_combination(F.col("t"))
+    got = spark.createDataFrame([(t,) for t in sorted(numbers)], "t long").select("t", low.alias("lo"), high.alias("hi"))
+    for r in got.collect():
+        assert 1 <= r["lo"] < r["hi"] and (r["hi"] - 1) * (r["hi"] - 2) // 2 + r["lo"] - 1 == r["t"]

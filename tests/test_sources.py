@@ -1,3 +1,4 @@
+import struct
 import wave
 
 import numpy as np
@@ -100,3 +101,25 @@ def test_split_files(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in one._jdf.queryExecution().executedPlan().toString()
     catalogue.write_pairs(pairs, str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_header_far_behind_and_float_samples(spark, tmp_path):
+    values = np.linspace(-0.5, 0.5, 400)
+
+    def chunk(name, body):
+        return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+    def write(name, tag, bits, raw, notes):
+        layout = chunk(b"fmt ", struct.pack("<HHIIHH", tag, 1, 16000, 16000 * bits // 8, bits // 8, bits))
+        body = b"WAVE" + layout + chunk(b"LIST", notes) + chunk(b"data", raw)
+        (tmp_path / name).write_bytes(b"RIFF" + struct.pack("<I", len(body)) + body)
+
+    write("late.wav", 1, 16, (values * 32767).astype("<i2").tobytes(), b"n" * 5001)
+    write("float.wav", 3, 32, values.astype("<f4").tobytes(), b"")
+    (tmp_path / "bad.wav").write_bytes(b"RIFF1234WAVEfmt ")
+    heads = {r["path"].rsplit("/", 1)[1]: r for r in signals.read_headers(spark, str(tmp_path)).collect()}
+    assert heads["late.wav"]["readable"] and heads["float.wav"]["readable"] and not heads["bad.wav"]["readable"]
+    assert heads["late.wav"]["duration"] == heads["float.wav"]["duration"] == 0.025
+    blocks = {r["track_id"].rsplit("/", 1)[1]: r for r in signals.read_signal_blocks(spark, str(tmp_path)).collect()}
+    assert np.allclose(blocks["float.wav"]["samples"], values, atol=1e-6)
+    assert np.allclose(blocks["late.wav"]["samples"], values, atol=1e-4) and blocks["bad.wav"]["error"]
