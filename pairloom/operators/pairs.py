@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hash_hex, hash_int
 from pairloom.operators.ranking import exact_rank, first_rows, hash_bucket
-from pairloom.session import cut_lineage
 
 # fixed values: draws per wanted pair, limits per group, and the pair types written out:
 # positive, negative, hard_negative, fmc_positive
@@ -64,8 +63,8 @@ def sample_pairs(
         lo = F.least("track_a_path", "track_b_path")
         hi = F.greatest("track_a_path", "track_b_path")
         drawn = drawn.select(lo.alias("track_a_path"), hi.alias("track_b_path"), "draw")
-    # the rank below reads its input twice: draw and join once
-    distinct = cut_lineage(drawn.groupBy("track_a_path", "track_b_path").agg(F.min("draw").alias("draw")))
+    # the rank below reads its input twice; both readings share this exchange
+    distinct = drawn.groupBy("track_a_path", "track_b_path").agg(F.min("draw").alias("draw"))
     width = max(1, n * ATTEMPTS // 4096)
     ranked = exact_rank(
         distinct, [], [F.col("draw")], F.floor(F.col("draw") / F.lit(width)), name="_rank"
@@ -186,11 +185,11 @@ def ranks_of_combination(t: Column) -> tuple[Column, Column]:
 def shared_key_positives(
     df: DataFrame,
     key: Column,
-    cap: int = SHARED_CAP,
+    cap: int | None = SHARED_CAP,
     seed: str | int = 42,
     col: str = "path",
 ) -> DataFrame:
-    """Pairs of tracks that share a key, at most ``cap`` per key.
+    """Pairs of tracks that share a key, at most ``cap`` per key; None: as many as the key has tracks.
 
     The combinations of a key are numbered 0..M−1 without being written out; a key takes
     ``cap`` of them at equal steps from a hashed start (all when M <= cap), each number is
@@ -206,7 +205,7 @@ def shared_key_positives(
         .where(F.col("_n") >= 2)
         .withColumn("_m", pairs_below(F.col("_n")))
         .withColumn("_start", hash_int(f"{seed}|start", F.col("_key")) % F.col("_m"))
-        .withColumn("_take", F.least(F.col("_m"), F.lit(cap)))
+        .withColumn("_take", F.least(F.col("_m"), F.col("_n") if cap is None else F.lit(cap)))
     )
     picks = sizes.select(
         "_key", "_m", "_start", "_take", F.explode(F.expr("sequence(0L, _take - 1)")).alias("_j")
