@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.storage import bounded_batches
+
 #: similarity (1 - edits / item length) of a passage, items in a block that is sent to all tasks
 SIMILARITY, ITEM_BLOCK = 0.8, 5000
 #: steps of a random walk, walks, samplings of a walk, positions in a sampling
@@ -147,6 +149,7 @@ def contaminated_passages(
     over the tracks. Items whose plain form is shorter than a walk are found only if equal windows fit in
     them; empty ones and items without id are left out. Null texts have no passages, repeated rows repeat theirs.
     """
+    bounded_batches(tracks.sparkSession)
     held = items.where("item_id is not null and text is not null")
     held = held.groupBy(F.col("text").cast("binary").alias("text")).agg(F.min("item_id").cast("long").alias("item_id"))
     n_blocks = max(1, -(-held.count() // item_block))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.storage import bounded_batches
+
 #: tokens of a sequence, id that ends a text, tokens that may lie in open sequences of one task
 LENGTH, END_ID, OPEN_TOKENS = 2048, 1, 4_000_000
 SCHEMA = "track_id long, start long, length long, ids_crc32 long, track_tokens long, sequence_id long, offset long"
@@ -141,6 +143,7 @@ def pack_tracks(
     ``open_tokens``: beyond it the open sequences are closed, as at the end. A null text is empty
     and has the end id only. Rows without track_id and repeated rows are packed like others.
     """
+    bounded_batches(tracks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.storage import stored
+from pairloom.llm.storage import bounded_batches, stored
 
 #: bytes of a repeated string, bytes of the gram that names a window, window starts handled at once
 MATCH, GRAM, CHUNK = 100, 24, 1 << 20
@@ -232,6 +232,7 @@ def without_repeats(tracks: DataFrame, text: str = "lyrics") -> DataFrame:
     without track_id take no part and stay whole. Rows that share an id count as one track: equal places
     are no earlier ones, and spans are pooled.
     """
+    bounded_batches(tracks.sparkSession)
     rows = tracks.select(F.col("track_id").cast("long"), F.col(text).cast("binary").alias("text"))
     by_track = repeated_spans(rows).groupBy("track_id").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
     joined = rows.mapInArrow(_packed, "track_id long, packed binary").join(by_track, "track_id", "left").select("track_id", "packed", "found")

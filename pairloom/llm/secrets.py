@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.storage import stored
+from pairloom.llm.storage import bounded_batches, stored
 
 #: labelled findings used at most, chosen by hash; words of the dictionary, trees, depth, decision
 MAX_LABELLED, DICTIONARY, TREES, DEPTH, THRESHOLD = 20_000, 5000, 30, 8, 0.5
@@ -62,6 +62,7 @@ def secret_candidates(tracks: DataFrame, text: str = "lyrics") -> DataFrame:
     Candidates are runs of 16 or more letters, digits and ``_+/=-``, and strings of 8 or more that are assigned
     to a word like ``password``. Null texts have none; a missing ``path`` column is an empty path.
     """
+    bounded_batches(tracks.sparkSession)
     return with_key(tracks, text).mapInArrow(_candidates, FOUND)
 
 

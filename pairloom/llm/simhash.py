@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.graph import connected_components
-from pairloom.llm.storage import stored
+from pairloom.llm.storage import bounded_batches, stored
 
 #: words in a shingle, differing bits of a link, seed of the shingle hash
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -172,6 +172,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 def _grouped(tracks: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """The tracks' fingerprints, and per distinct one (fp, first track_id, root: the smallest that it can reach)."""
+    bounded_batches(tracks.sparkSession)
     prints = stored(fingerprints(tracks, text))
     distinct = stored(prints.groupBy("fp").agg(F.min("track_id").alias("first")))
     roots = connected_components(fingerprint_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
