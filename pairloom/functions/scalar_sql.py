@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# fixed values: the weights of the blended score and of the artefact score
-_WEIGHTS = {
-    "melodic": 0.15, "timbral": 0.15, "structural": 0.10, "embedding": 0.15,
-    "neural": 0.30, "lyrical": 0.10, "vocal": 0.05,
-}
+from pairloom.operators.similarity import ARTIFACT_WEIGHTS, WEIGHTS
 
 _DOT = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (acc, v) -> acc + v)"
 
@@ -21,18 +17,13 @@ def sql_function_texts() -> dict[str, str]:
     size = f"sqrt({_DOT.format('a', 'a')}) * sqrt({_DOT.format('b', 'b')})"
     cosine = _clip(f"({_DOT.format('a', 'b')}) / nullif({size}, 0D)")
     fourier = " + ".join(f"v[{i}]" for i in range(12, 22))
-    artifact = " + ".join(
-        [
-            f"0.15D * {_clip('(v[0] - 1D) / 1.5D')}",
-            f"0.15D * {_clip('1D - v[7] / 20D')}",
-            f"0.10D * {_clip('v[8] * 5D')}",
-            f"0.10D * {_clip('abs(v[10] - 0.87D) / 0.3D')}",
-            f"0.50D * ({fourier}) / 10D",
-        ]
+    terms = (
+        _clip("(v[0] - 1D) / 1.5D"), _clip("1D - v[7] / 20D"), _clip("v[8] * 5D"), _clip("abs(v[10] - 0.87D) / 0.3D"), f"({fourier}) / 10D",
     )
-    names = list(_WEIGHTS)
-    top = " + ".join(f"coalesce({k}, 0D) * {w}D" for k, w in _WEIGHTS.items())
-    den = " + ".join(f"CASE WHEN {k} IS NULL THEN 0D ELSE {w}D END" for k, w in _WEIGHTS.items())
+    artifact = " + ".join(f"{weight}D * {term}" for weight, term in zip(ARTIFACT_WEIGHTS, terms))
+    names = list(WEIGHTS)
+    top = " + ".join(f"coalesce({k}, 0D) * {w}D" for k, w in WEIGHTS.items())
+    den = " + ".join(f"CASE WHEN {k} IS NULL THEN 0D ELSE {w}D END" for k, w in WEIGHTS.items())
     return {
         "cosine01": f"cosine01(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {cosine}",
         "cache_key": (

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pairloom.functions.vectors import cosine, dot, l2_distance, norm, to_double
 from pairloom.operators.similarity import A, B, both_sides
 
+#: rows of a batch within which all vectors are compared
+MAX_BATCH = 4096
 DISTANCE_EPS = 1e-6
 
 
@@ -126,13 +128,25 @@ def contrastive_loss(pairs: DataFrame, vectors: DataFrame, margin: float = 0.4)
     return j.agg(F.avg(contrastive_term(sim, F.col("label").cast("double"), margin)).alias("contrastive_loss"))
 
 
+def bounded_batches(batches: DataFrame, most: int = MAX_BATCH) -> DataFrame:
+    """``batches`` as they are; running them fails if a batch has more than ``most`` rows.
+
+    All rows of a batch meet each other, so a batch that grows with the data must not get through.
+    """
+    sizes = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("_n"))
+    fault = F.raise_error(F.concat(F.lit("batch "), F.col("batch").cast("string"), F.lit(f" has more than {most} rows")))
+    kept = sizes.select(F.when(F.col("_n") > most, fault).otherwise(F.col("batch")).alias("batch"))
+    return batches.join(kept, "batch")
+
+
 def triplet_loss(batches: DataFrame, margin: float = 0.3) -> DataFrame:
     """Triplet loss per batch with the nearest negative of the batch.
 
-    ``batches`` is (batch, row, label, vector_a, vector_b) with batches of a fixed small size;
+    ``batches`` is (batch, row, label, vector_a, vector_b) with batches of at most ``MAX_BATCH`` rows;
     the pool of negatives is both sides of the batch's negative pairs. A batch without one
     of the two classes has loss 0.
     """
+    batches = bounded_batches(batches)
     pos = batches.where(F.col("label") == 1).select(
         "batch", "row", to_double(F.col("vector_a")).alias("anchor"), to_double(F.col("vector_b")).alias("mate")
     )
@@ -168,10 +182,11 @@ def triplet_loss(batches: DataFrame, margin: float = 0.3) -> DataFrame:
 def ntxent_loss(views: DataFrame, tau: float = 0.5) -> DataFrame:
     """Normalised temperature cross-entropy per batch of two views.
 
-    ``views`` is (batch, row, vector_a, vector_b), batches of a fixed small size. Each of the
+    ``views`` is (batch, row, vector_a, vector_b), batches of at most ``MAX_BATCH`` rows. Each of the
     2N vectors is compared with the others of its batch, itself excluded; the target is its
     partner. Log-sum-exp is taken around the maximum.
     """
+    views = bounded_batches(views)
     side = lambda i, c: F.struct(F.lit(i).alias("side"), to_double(F.col(c)).alias("v"))
     flat = views.select("batch", "row", F.explode(F.array(side(0, "vector_a"), side(1, "vector_b"))).alias("_x"))
     length = norm(F.col("_x.v"))

@@ -35,17 +35,6 @@ def both_sides(pairs: DataFrame, features: DataFrame, cols: Sequence[str], how:
     return pairs.join(a, A, how).join(b, B, how)
 
 
-def unrolled_cosine(a: Column, b: Column, dims: int) -> Column:
-    """Cosine of two arrays of a known length as straight-line arithmetic.
-
-    Compiled by whole-stage codegen, where the lambda form of ``cosine`` is interpreted.
-    """
-    terms = [(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(dims)]
-    total = lambda xs: reduce(lambda x, y: x + y, xs)
-    size = F.sqrt(total([x * x for x, _ in terms])) * F.sqrt(total([y * y for _, y in terms]))
-    return F.when(size > 0, total([x * y for x, y in terms]) / size)
-
-
 def _cosine_batch() -> Column:
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -137,19 +126,6 @@ def text_similarity(pairs: DataFrame, docs: DataFrame, text: str = "text") -> Da
     return sides.join(shared, [A, B], "left").select(A, B, score.alias("lyrical"))
 
 
-def tfidf_vectors(docs: DataFrame, text: str = "text", dims: int = 1 << 18) -> DataFrame:
-    """Hashed term frequencies weighted by document frequency, as ML vectors."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
-        IDF(inputCol="_tf", outputCol="vector"),
-    ]
-    return Pipeline(stages=stages).fit(docs).transform(docs).drop("_words", "_tf")
-
-
 def energy_gate(frames: DataFrame, threshold: float) -> DataFrame:
     """Activity flag per track: mean square above a threshold."""
     return frames.groupBy("track_id").agg(
@@ -397,7 +373,8 @@ def result_struct(df: DataFrame, mode: str = "standard") -> DataFrame:
     """Nested result record and its JSON text for scored pairs.
 
     Expects attribution_score, component_std, confidence, artifact_a, artifact_b and the
-    component columns that were computed.
+    component columns that were computed. With a ``by_kind`` column the record holds the scores of
+    all embedding kinds as a map, their mean stays among the component scores.
     """
     used = _components(df, WEIGHTS)
     total = reduce(lambda x, y: x + y, [F.when(F.col(k).isNotNull(), w).otherwise(0.0) for k, w in used.items()])
@@ -406,9 +383,10 @@ def result_struct(df: DataFrame, mode: str = "standard") -> DataFrame:
         lambda _, v: v.isNotNull(),
     )
     similarity = lambda k: (F.col(k) if k in used else F.lit(None).cast("double"))
+    kinds = "by_kind" in df.columns
     record = F.struct(
         F.col("attribution_score"),
-        *[similarity(k).alias(f"{k}_similarity") for k in WEIGHTS],
+        *[(F.col("by_kind") if k == "embedding" and kinds else similarity(k)).alias(f"{k}_similarity") for k in WEIGHTS],
         F.struct(F.col("artifact_a").alias("track_a"), F.col("artifact_b").alias("track_b")).alias("ai_artifact_score"),
         is_attribution(F.col("attribution_score")).alias("is_likely_attribution"),
         F.col("confidence"),

@@ -55,7 +55,7 @@ def score_pairs(
     if tables.chroma_frames is not None:
         parts.append(s.structural_similarity(keys, tables.chroma_frames))
     if use_embeddings and tables.embeddings is not None:
-        parts.append(s.embedding_similarity(keys, tables.embeddings).select(s.A, s.B, "embedding"))
+        parts.append(s.embedding_similarity(keys, tables.embeddings).select(s.A, s.B, "embedding", "by_kind"))
     if tables.neural is not None:
         parts.append(tables.neural.select(s.A, s.B, "neural"))
     if use_lyrics and tables.texts is not None:

@@ -92,14 +92,5 @@ def read_pairs(spark: SparkSession, path: str, split: str | None = None) -> Data
     return pairs if split is None else pairs.where(F.col("split") == split)
 
 
-def to_json_records(df: DataFrame, name: str = "json") -> DataFrame:
-    """Each row as one JSON text; null fields are written out."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
-
-
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
-
-
-def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)

@@ -96,12 +96,6 @@ def stream_ingest(
     return writer.start()
 
 
-def stream_dedupe(stream: DataFrame, keys: Sequence[str], time: str, watermark: str) -> DataFrame:
-    """Rows with a key not seen within the watermark; state is dropped as it passes."""
-    stamped = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark)
-    return stamped.dropDuplicatesWithinWatermark(list(keys))
-
-
 def stream_score(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """Arriving pairs joined with the static feature store and scored.
 

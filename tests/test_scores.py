@@ -157,3 +157,10 @@ def test_pca_against_eigenvalues(spark):
     want = np.cumsum(values) / values.sum()
     assert np.allclose([r["cumulative"] for r in got], want)
     assert got[0]["needed"] == int(np.searchsorted(want, 0.9)) + 1
+
+
+def test_a_batch_that_is_too_large_fails(spark):
+    rows = spark.range(50).selectExpr("1 as batch", "id as row", "int(id % 2) as label", "array(1D, id + 0D) as vector_a", "array(2D, id + 0D) as vector_b")
+    assert md.bounded_batches(rows, 50).count() == 50
+    with pytest.raises(Exception, match="more than 49 rows"):
+        md.bounded_batches(rows, 49).collect()
