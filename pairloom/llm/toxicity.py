@@ -14,10 +14,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.storage import stored
+from pairloom.llm.storage import bounded_batches, stored
 
-#: labelled tracks used at most, chosen by hash; terms of all lexicons, lexicons per kind of term
-MAX_LABELLED, MAX_TERMS, LEXICONS = 20_000, 2048, 6
+#: labelled tracks used at most, chosen by hash; terms of all lexicons, tiers per kind of term, terms of the first
+MAX_LABELLED, MAX_TERMS, LEXICONS, FIRST_TIER = 20_000, 2048, 6, 16
 #: occurrences and signal a term needs, a term's smallest log ratio, score from which a text is toxic
 MIN_TOXIC, MIN_Z, MIN_RATIO, THRESHOLD = 3, 2.3, 1.5, 0.3
 #: lengths in bytes of the word beginnings that serve as terms next to whole words
@@ -53,11 +53,12 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield taken()
 
 
-def mined_lexicons(sample: DataFrame, n_toxic: int, n_clean: int) -> list[dict[bytes, int]]:
+def mined_lexicons(sample: DataFrame, n_toxic: int, n_clean: int) -> list[dict[bytes, tuple[int, int]]]:
     """Per kind of term a map from the terms that mark toxic texts to their lexicon.
 
-    Terms are ranked by the z-value of their log ratio of shares and dealt in turn, so that
-    every lexicon of a kind has strong and weak terms.
+    Terms are ranked by the z-value of their log ratio of shares. Half of the lexicons of a kind are tiers of
+    doubling size, so that the few terms that hardly ever mark a clean text vote by themselves; the other half are
+    dealt in turn, so that a text with many terms is found by several of them.
     """
     counts = sample.select("text", "toxic").mapInArrow(_term_counts, "kind int, term binary, toxic long, clean long")
     counts = counts.groupBy("kind", "term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
@@ -65,25 +66,32 @@ def mined_lexicons(sample: DataFrame, n_toxic: int, n_clean: int) -> list[dict[b
     z = ratio / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     ranked = counts.where(F.col("t") >= MIN_TOXIC).withColumns({"ratio": ratio, "z": z})
     ranked = ranked.where((F.col("z") >= MIN_Z) & (F.col("ratio") >= MIN_RATIO)).orderBy(F.desc("z"), "kind", "term").limit(MAX_TERMS)
-    lexicons: dict[int, dict[bytes, int]] = {k: {} for k in (0, *BEGINNINGS)}
+    lexicons: dict[int, dict[bytes, tuple[int, int]]] = {k: {} for k in (0, *BEGINNINGS)}
     for row in ranked.collect():
         of_kind = lexicons[row["kind"]]
-        of_kind[bytes(row["term"])] = len(of_kind) % LEXICONS
+        rank = len(of_kind)
+        tier = min(LEXICONS - 1, (rank // FIRST_TIER + 1).bit_length() - 1)
+        of_kind[bytes(row["term"])] = (tier, LEXICONS + rank % LEXICONS)
     return list(lexicons.values())
 
 
-def votes(text: bytes | None, lexicons: list[dict[bytes, int]], gate: set[bytes]) -> np.ndarray:
-    """Hits of every lexicon, the pattern voters (0/1), log of the word count."""
+def votes(text: bytes | None, lexicons: list[dict[bytes, tuple[int, int]]], gate: set[bytes]) -> np.ndarray:
+    """Hits of every lexicon, different words that hit per kind, the pattern voters (0/1), log of the word count."""
     words = _words(text)
-    hits = np.zeros(len(lexicons) * LEXICONS + len(PATTERNS) + 1)
+    tail = len(lexicons) * 2 * LEXICONS
+    hits = np.zeros(tail + len(lexicons) + len(PATTERNS) + 1)
     counted, whole = Counter(words), lexicons[0]
     for word, n in counted.items():
-        if (at := whole.get(word)) is not None:
+        for at in whole.get(word, ()):
             hits[at] += n
+        if word in whole:
+            hits[tail] += 1
         if word[: BEGINNINGS[0]] in gate:
             for k, (size, of_kind) in enumerate(zip(BEGINNINGS, lexicons[1:]), 1):
-                if len(word) > size and (at := of_kind.get(word[:size])) is not None:
-                    hits[k * LEXICONS + at] += n
+                if len(word) > size and (both := of_kind.get(word[:size])):
+                    for at in both:
+                        hits[k * 2 * LEXICONS + at] += n
+                    hits[tail + k] += 1
     raw, n = text or b"", len(words)
     upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     digits = len(raw) - len(raw.translate(None, b"0123456789"))
@@ -94,7 +102,7 @@ def votes(text: bytes | None, lexicons: list[dict[bytes, int]], gate: set[bytes]
     return hits
 
 
-def _gate(lexicons: list[dict[bytes, int]]) -> set[bytes]:
+def _gate(lexicons: list[dict[bytes, tuple[int, int]]]) -> set[bytes]:
     return {term[: BEGINNINGS[0]] for of_kind in lexicons[1:] for term in of_kind}
 
 
@@ -139,10 +147,10 @@ class LabelModel:
 
 def _inputs(hits: np.ndarray) -> np.ndarray:
     """Inputs of the linear classifier: logged hits, shares of hits among the words, patterns, word count."""
-    n = len(PATTERNS) + 1
-    counts, rest = hits[..., :-n], hits[..., -n:]
-    kinds = counts.reshape(*counts.shape[:-1], -1, LEXICONS)
-    found = np.concatenate([kinds.sum(-1), (kinds > 0).sum(-1)], -1)
+    n, n_kinds = len(PATTERNS) + 1, len(BEGINNINGS) + 1
+    counts, different, rest = hits[..., : -n - n_kinds], hits[..., -n - n_kinds : -n], hits[..., -n:]
+    kinds = counts.reshape(*counts.shape[:-1], n_kinds, 2 * LEXICONS)
+    found = np.concatenate([kinds[..., :LEXICONS].sum(-1), (kinds[..., LEXICONS:] > 0).sum(-1), different], -1)
     share = found / np.exp(rest[..., -1:]).clip(1) * 50
     return np.concatenate([np.log1p(counts), np.log1p(found), np.log1p(share), rest], -1)
 
@@ -158,6 +166,7 @@ def toxicity_scorer(
     (0 or 1) to all, no labels give 0. Null labels are left out.
     """
     rows = tracks.select(F.col("track_id").cast("long"), F.col(text).cast("binary").alias("text"))
+    bounded_batches(tracks.sparkSession)
     known = labels.where(F.col("track_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("track_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = F.lit((1 << 30) * max_labelled // max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("track_id"), F.lit(1 << 30)) < share)
@@ -184,7 +193,7 @@ def toxicity_scorer(
     spark = tracks.sparkSession
     soft = [(x.tolist(), float(y), w) for x, p in zip((inputs - middle) / spread, model.posterior.tolist()) for y, w in ((1, p), (0, 1 - p))]
     training = spark.createDataFrame(soft, "x array<double>, y double, w double").select(array_to_vector("x").alias("features"), "y", "w")
-    linear = LogisticRegression(labelCol="y", weightCol="w", regParam=0.003, maxIter=60, standardization=False).fit(training)
+    linear = LogisticRegression(labelCol="y", weightCol="w", regParam=0.001 + 2.0 / len(gold), maxIter=60, standardization=False).fit(training)
     weights = linear.coefficients.toArray() / spread
     base = float(linear.intercept - weights @ middle)
 
