@@ -144,13 +144,20 @@ SQL["i12_cohens_d"] = BASE + "SELECT dim, round(d, 6) AS cohens_d, row_number()
 QUERIES["i13_welch_t"] = lambda spark, sf: _round(ops.welch_t(_vec(spark, sf), "label", 2, 7).drop("p"), ["t", "df"])
 SQL["i13_welch_t"] = BASE + "SELECT dim, round(t, 6) + 0.0 AS t, round(df, 6) AS df FROM cd"
 QUERIES["i13_welch_p"] = lambda spark, sf: _round(ops.welch_t(_vec(spark, sf), "label", 2, 7), ["t", "df", "p"])
+# two-sided tail of t: with u = sqrt(df) tan(x) the density is a power of cos(x), summed by Simpson's rule
+TAIL = """,
+pv AS (SELECT *, CASE WHEN t IS NULL THEN 1.0 ELSE
+  1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * atan(abs(t) / sqrt(df)) / 6000 * list_sum(list_transform(range(0, 2001),
+    lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(i * atan(abs(t) / sqrt(df)) / 2000), df - 1))) END AS p
+  FROM cd)"""
+SQL["i13_welch_p"] = BASE + TAIL + "SELECT dim, round(t, 6) + 0.0 AS t, round(df, 6) AS df, round(p, 6) + 0.0 AS p FROM pv"
 QUERIES["i14_top_features"] = lambda spark, sf: _round(
-    ops.top_features(_vec(spark, sf), "label", 2, 7, 10, TIERS).select("tier", "dim", "cohens_d", "rank"), ["cohens_d"]
+    ops.top_features(_vec(spark, sf), "label", 2, 7, 10, TIERS).select("tier", "dim", "cohens_d", "rank", "significant"), ["cohens_d"]
 )
-SQL["i14_top_features"] = BASE + """,
-r AS (SELECT tier, dim, d, row_number() OVER (PARTITION BY tier ORDER BY d DESC, dim) AS rank
-  FROM cd, (VALUES ('first', 0, 40), ('second', 40, 64), ('all', 0, 64)) t(tier, lo, hi) WHERE dim >= lo AND dim < hi)
-SELECT tier, dim, round(d, 6) AS cohens_d, rank FROM r WHERE rank <= 10"""
+SQL["i14_top_features"] = BASE + TAIL + """,
+r AS (SELECT tier, dim, d, p < 0.05 AS significant, row_number() OVER (PARTITION BY tier ORDER BY d DESC, dim) AS rank
+  FROM pv, (VALUES ('first', 0, 40), ('second', 40, 64), ('all', 0, 64)) t(tier, lo, hi) WHERE dim >= lo AND dim < hi)
+SELECT tier, dim, round(d, 6) AS cohens_d, rank, significant FROM r WHERE rank <= 10"""
 QUERIES["i15_mean_diff"] = lambda spark, sf: _round(ops.mean_diff(_vec(spark, sf), "label", 2, 7), ["mean_diff"])
 SQL["i15_mean_diff"] = BASE + "SELECT dim, round(md, 6) AS mean_diff FROM cd"
 QUERIES["i16_group_profile"] = lambda spark, sf: _round(ops.group_profile(_vec(spark, sf), "label"), ["mean", "z"])

@@ -114,3 +114,13 @@ QUERIES["b06_rows_removed"] = lambda spark, sf: ops.rows_removed(
 SQL["b06_rows_removed"] = with_sql(ANNOTATED_SQL, _BAD, _KEPT) + """
 SELECT (SELECT count(*) FROM ann) AS rows_before, (SELECT count(*) FROM kept) AS rows_after,
   (SELECT count(*) FROM ann) - (SELECT count(*) FROM kept) AS rows_removed"""
+
+_WANTED = {"documents": ["doc_id", "text", "caption"], "labels": ["doc_id", "label", "split"], "pages": ["page_id", "url"]}
+QUERIES["b07_missing_columns"] = lambda spark, sf: ops.missing_columns({name: table(spark, sf, name) for name in _WANTED}, _WANTED)
+SQL["b07_missing_columns"] = """SELECT w.t AS dataset, w.c AS column_name, n.n AS n_rows
+FROM (VALUES ('documents', 'doc_id'), ('documents', 'text'), ('documents', 'caption'), ('labels', 'doc_id'), ('labels', 'label'),
+  ('labels', 'split'), ('pages', 'page_id'), ('pages', 'url')) w(t, c)
+JOIN (SELECT 'documents' AS t, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels
+  UNION ALL SELECT 'pages', count(*) FROM pages) n ON n.t = w.t
+LEFT JOIN duckdb_columns() d ON d.table_name = w.t AND d.column_name = w.c
+WHERE d.column_name IS NULL"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +114,18 @@ def rows_removed(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def missing_columns(tables: dict[str, DataFrame], wanted: dict[str, Sequence[str]]) -> DataFrame:
+    """(dataset, column_name, n_rows) of every wanted column that a table lacks, with the rows that it concerns."""
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("dataset"), F.explode(F.array(*[F.lit(c) for c in lacking])).alias("column_name"), "n_rows")
+        for name, df in tables.items()
+        if (lacking := [c for c in wanted.get(name, ()) if c not in df.columns])
+    ]
+    if not parts:
+        return next(iter(tables.values())).limit(0).selectExpr("'' as dataset", "'' as column_name", "0L as n_rows")
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
 def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     missing = [c for c in cols if c not in df.columns]
     if missing:
