@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -18,24 +19,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_catalogue(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(header line, its files) of the CSV files below ``path``: one entry per column order."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+    grouped = first.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return sorted((r["head"], r["files"]) for r in grouped.collect())
+
+
+def read_catalogue(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame | None:
     """Catalogue CSV with its schema given; a missing file is no error but None.
 
-    Columns are matched by header name, so files with other column orders read alike.
+    Columns are matched by header name, file by file, so files of a folder may have other column
+    orders. Texts may hold line breaks; ``multi_line=False`` promises that none does and lets
+    Spark split the files.
     """
     if not path_exists(spark, path):
         return None
-    header = spark.read.option("header", True).csv(path).columns
-    known = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(known).option("header", True).option("multiLine", True).option(
-        "escape", '"'
-    ).csv(path)
-    return raw.select(
-        *[
-            (F.col(f.name) if f.name in header else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    parts = []
+    for _, files in _headers(spark, path):
+        header = spark.read.option("header", True).csv(files[0]).columns
+        known = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = spark.read.schema(known).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(files)
+        parts.append(raw.select(*[
+            (F.col(f.name) if f.name in header else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+        ]))
+    return reduce(lambda a, b: a.unionAll(b), parts) if parts else spark.createDataFrame([], schema)
 
 
 def _entries(folder: str, recursive: bool) -> list[tuple[str, int, bool]]:

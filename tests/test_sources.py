@@ -4,6 +4,7 @@ import wave
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.operators import validation
 from pairloom.sources import catalogue, schemas, signals
@@ -123,3 +124,12 @@ def test_header_far_behind_and_float_samples(spark, tmp_path):
     blocks = {r["track_id"].rsplit("/", 1)[1]: r for r in signals.read_signal_blocks(spark, str(tmp_path)).collect()}
     assert np.allclose(blocks["float.wav"]["samples"], values, atol=1e-6)
     assert np.allclose(blocks["late.wav"]["samples"], values, atol=1e-4) and blocks["bad.wav"]["error"]
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_files_of_two_column_orders(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text('filename,label,generator,split\na.wav,ai,suno,train\n"b, c.wav",real,real,val\n')
+    (tmp_path / "b.csv").write_text("split,generator,filename\ntrain,udio,d.wav\n")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("filename", "label", "generator", "split")])
+    got = {tuple(r) for r in catalogue.read_catalogue(spark, str(tmp_path), schema, multi_line).collect()}
+    assert got == {("a.wav", "ai", "suno", "train"), ("b, c.wav", "real", "real", "val"), ("d.wav", None, "udio", "train")}
