@@ -164,9 +164,9 @@ def structural_similarity(pairs: DataFrame, frames: DataFrame, limit: int = MAX_
         "track_id", "frame", "band",
         F.when(F.col("_top") > 0, F.col("value") / F.col("_top")).otherwise(F.lit(0.0)).alias("x"),
     )
-    sized = both_sides(pairs.select(A, B).distinct(), _frame_counts(frames), ["t"]).withColumn(
-        "m", F.least("t_a", "t_b", F.lit(limit)).cast("int")
-    )
+    sized = both_sides(pairs.select(A, B).distinct(), _frame_counts(frames), ["t"], "left")
+    # a track without frames has none to compare
+    sized = sized.withColumn("m", F.least(F.coalesce("t_a", F.lit(0)), F.coalesce("t_b", F.lit(0)), F.lit(limit)).cast("int"))
     usable = sized.where(F.col("m") >= 2)
 
     def resized(side: str, track: str, count: str) -> DataFrame:
@@ -268,6 +268,9 @@ def _alignment_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterat
     for left, right in batches:
         out = []
         for fa, fb in zip(left, right):
+            if fa is None or fb is None:
+                out.append(0.0)
+                continue
             x, y = np.stack([np.asarray(v) for v in fa]), np.stack([np.asarray(v) for v in fb])
             n, m = len(x), len(y)
             before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
@@ -289,8 +292,8 @@ def melodic_similarity(pairs: DataFrame, frames: DataFrame, path: str = "arrow")
     Sequences of all lengths are aligned in Arrow batches; ``path`` 'fold' names the same alignment as
     a fold inside the plan.
     """
-    joined = both_sides(pairs.select(A, B).distinct(), frame_arrays(frames), ["frames", "t"])
-    short = (F.col("t_a") < 2) | (F.col("t_b") < 2)
+    joined = both_sides(pairs.select(A, B).distinct(), frame_arrays(frames), ["frames", "t"], "left")
+    short = (F.coalesce("t_a", F.lit(0)) < 2) | (F.coalesce("t_b", F.lit(0)) < 2)
     cost_fold = _alignment_cost(F.col("frames_a"), F.col("frames_b"))
     arrow = F.pandas_udf(_alignment_batches, "double")(F.col("frames_a"), F.col("frames_b"))
 

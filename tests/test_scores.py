@@ -164,3 +164,12 @@ def test_a_batch_that_is_too_large_fails(spark):
     assert md.bounded_batches(rows, 50).count() == 50
     with pytest.raises(Exception, match="more than 49 rows"):
         md.bounded_batches(rows, 49).collect()
+
+
+def test_tracks_without_frames_score_zero(spark):
+    rows = [("a", f, b, float((f * 3 + b) % 5)) for f in range(6) for b in range(3)]
+    table = spark.createDataFrame(rows, "track_id string, frame long, band long, value double")
+    pairs = spark.createDataFrame([("a", "a"), ("a", "none"), ("none", "other")], "track_a_path string, track_b_path string")
+    for score, name in ((sim.melodic_similarity, "melodic"), (sim.structural_similarity, "structural")):
+        got = {(r[0], r[1]): r[name] for r in score(pairs, table).collect()}
+        assert len(got) == 3 and got["a", "a"] > 0.9 and got["a", "none"] == got["none", "other"] == 0.0
