@@ -94,17 +94,16 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def longest_previous_factors(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Length (at most the window's) of the longest match of each window with one at a smaller position.
+    """The window's length where it also lies at a smaller position, 0 where its longest earlier match is shorter.
 
     Windows are put in suffix order; of all earlier windows the longest match is with the previous or
-    the next one in that order whose position is smaller. These are found by jumping over larger positions,
-    only as long as the match stays complete: shorter matches are not told apart.
+    the next one in that order whose position is smaller. These are found by jumping over larger positions
+    as long as the match stays complete.
     """
     width = windows.shape[1]
     order = np.argsort(np.ascontiguousarray(windows).view(f"S{width}").ravel(), kind="stable")
-    rows, pos = windows[order], position[order]
-    differs = rows[1:] != rows[:-1]
-    common = np.where(differs.any(1), differs.argmax(1), width)
+    rows, pos = np.ascontiguousarray(windows[order]).view(f"S{width}").ravel(), position[order]
+    common = np.where(rows[1:] == rows[:-1], width, 0)
 
     def nearest_smaller(pos: np.ndarray, common: np.ndarray) -> np.ndarray:
         near, match = np.arange(len(pos)) - 1, np.r_[0, common]
@@ -134,8 +133,8 @@ def _repeated_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         out = ([], [], [])
         if rows:
             windows = np.concatenate([_windows(raw, n) for _, _, _, n, raw in rows])
-            where = np.concatenate([np.stack([np.full(n, t), np.arange(f, f + n)], 1) for _, t, f, n, _ in rows])
-            position = np.unique(where, axis=0, return_inverse=True)[1].ravel()
+            number = np.unique([t for _, t, *_ in rows], return_inverse=True)[1]  # tracks in order, places within
+            position = np.concatenate([(k << 40) + np.arange(f, f + n) for k, (_, _, f, n, _) in zip(number.tolist(), rows)])
             gone = longest_previous_factors(windows, position) >= MATCH
             at = 0
             for _, track, first, n, _ in rows:
