@@ -29,7 +29,8 @@ HEADLINE = (
     "f01_cosine01_arrow",
     "f04_text_similarity",
     "f06_structural_similarity",
-    "f07_melodic_similarity_fold",
+    "f07_melodic_similarity_arrow",
+    "f14_score_pairs_full",
     "h05_auc",
     "i02_value_counts",
     "i07_top_words",
