@@ -1,7 +1,6 @@
 import random
 import zlib
 
-import pytest
 
 from pairloom.llm.queries import op4_toxicity
 from pairloom.llm.toxicity import toxicity_scores
