@@ -113,6 +113,7 @@ class LabelModel:
     log_prior: float
     fires: np.ndarray  # class x voter
     weights: np.ndarray
+    missed: float  # share of given labels that are wrong
 
     @classmethod
     def fit(cls, fired: np.ndarray, gold: np.ndarray, counts: np.ndarray, rounds: int = 25) -> LabelModel:
@@ -131,14 +132,17 @@ class LabelModel:
             spread = (residual * counts[:, None]).T @ residual
             scale = np.sqrt(np.diag(spread)).clip(1e-9)
             weights = 1 / np.maximum(1, (spread / scale / scale[:, None]).clip(0, 1).sum(0))
-            model = cls(float(np.log(mass[1].sum() / mass[0].sum())), fires, weights)
-            odds = model.log_odds(fired) + np.where(gold > 0, 1, -1) * np.log((1 - missed) / missed)
-            post = 1 / (1 + np.exp(-odds.clip(-30, 30)))
+            model = cls(float(np.log(mass[1].sum() / mass[0].sum())), fires, weights, missed)
+            post = model.posterior(fired, gold)
             wrong = (np.where(gold > 0, 1 - post, post) * counts).sum() / counts.sum()
             missed = float(np.clip(wrong, 0.005, 0.1))
-        model.posterior = post
         return model
 
+    def posterior(self, fired: np.ndarray, gold: np.ndarray) -> np.ndarray:
+        """P(toxic) of texts by their votes and their given labels."""
+        odds = self.log_odds(fired) + np.where(gold > 0, 1, -1) * np.log((1 - self.missed) / self.missed)
+        return 1 / (1 + np.exp(-odds.clip(-30, 30)))
+
     def log_odds(self, fired: np.ndarray) -> np.ndarray:
         on = np.log(self.fires[1] / self.fires[0])
         off = np.log((1 - self.fires[1]) / (1 - self.fires[0]))
@@ -182,20 +186,30 @@ def toxicity_scorer(
 
     def cast_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [votes(t.as_py(), lexicons, gate).tolist() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.float64())), batch.column(1)], ["hits", "toxic"])
-
-    voted = sample.select("text", "toxic").mapInArrow(cast_votes, "hits array<double>, toxic int").toPandas()  # bounded by max_labelled
-    hits, gold = np.array(voted.hits.tolist()), voted.toxic.to_numpy()
-    model = LabelModel.fit((hits[:, :-1] > 0).astype(float), gold, np.ones(len(gold)))
-    inputs = _inputs(hits)
-    middle, spread = inputs.mean(0), inputs.std(0).clip(1e-6)
-    spark = tracks.sparkSession
-    soft = [(x.tolist(), float(y), w) for x, p in zip((inputs - middle) / spread, model.posterior.tolist()) for y, w in ((1, p), (0, 1 - p))]
-    training = spark.createDataFrame(soft, "x array<double>, y double, w double").select(array_to_vector("x").alias("features"), "y", "w")
-    linear = LogisticRegression(labelCol="y", weightCol="w", regParam=0.001 + 2.0 / len(gold), maxIter=60, standardization=False).fit(training)
-    weights = linear.coefficients.toArray() / spread
-    base = float(linear.intercept - weights @ middle)
+            hits = [votes(t.as_py(), lexicons, gate) for t in batch.column(0)]
+            fired = pa.array([(h[:-1] > 0).tobytes() for h in hits], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([h.tolist() for h in hits], pa.list_(pa.float64())), fired, batch.column(1)], ["hits", "fired", "toxic"])
+
+    voted = stored(sample.select("text", "toxic").mapInArrow(cast_votes, "hits array<double>, fired binary, toxic int"))
+    patterns = voted.groupBy("fired", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # no more than max_labelled
+    fired = np.array([np.frombuffer(r["fired"], bool) for r in patterns], float)
+    model = LabelModel.fit(fired, np.array([r["toxic"] for r in patterns]), np.array([r["n"] for r in patterns], float))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every text twice, as toxic and as clean, weighted by its posterior label."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hits = np.array(batch.column(0).to_pylist())
+            toxic = model.posterior((hits[:, :-1] > 0).astype(float), batch.column(2).to_numpy())
+            inputs = pa.array(_inputs(hits).tolist(), pa.list_(pa.float64()))
+            for y, w in ((1.0, toxic), (0.0, 1 - toxic)):
+                yield pa.RecordBatch.from_arrays([inputs, pa.array([y] * len(w)), pa.array(w)], ["x", "y", "w"])
+
+    training = stored(voted.mapInArrow(weigh, "x array<double>, y double, w double"))
+    linear = LogisticRegression(labelCol="y", weightCol="w", regParam=0.001 + 2.0 / (n_toxic + n_clean), maxIter=60)
+    fitted = linear.fit(training.select(array_to_vector("x").alias("features"), "y", "w"))
+    weights, base = fitted.coefficients.toArray(), float(fitted.intercept)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
