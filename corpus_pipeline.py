@@ -9,7 +9,7 @@ from pairloom.llm.decontamination import contaminated_passages
 from pairloom.llm.packing import pack_tracks
 from pairloom.llm.queries import training_labels, tracks_of
 from pairloom.llm.secrets import announced_labels, redacted, secret_candidates, secret_findings
-from pairloom.llm.simhash import first_of_groups
+from pairloom.llm.shingles import first_of_near_duplicates
 from pairloom.llm.storage import stored
 from pairloom.llm.toxicity import THRESHOLD, toxicity_scorer
 
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the smallest id; repeated rows stay once."""
-    kept = _for_rows(docs, first_of_groups(tracks_of(docs)), "left_semi")
+    kept = _for_rows(docs, first_of_near_duplicates(tracks_of(docs)), "left_semi")
     same = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
     return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
 

@@ -195,16 +195,3 @@ def near_duplicate_groups(tracks: DataFrame, text: str = "lyrics") -> DataFrame:
     return prints.join(named, "fp").select(
         "track_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def first_of_groups(tracks: DataFrame, text: str = "lyrics") -> DataFrame:
-    """(track_id, text_key) of the one track that stays of every group of near-duplicates.
-
-    It is the one with the smallest track_id, one without id only where the group has no other; of rows
-    that share it, the one with the smallest hash of its text.
-    """
-    prints, placed = _grouped(tracks, text)
-    first = F.min(F.struct(F.col("track_id").isNull().alias("nameless"), "track_id", "text_key")).alias("kept")
-    by_print = stored(prints.groupBy("fp").agg(first))
-    kept = by_print.join(placed, "fp").groupBy("root").agg(F.min("kept").alias("kept"))
-    return stored(kept.select("kept.track_id", "kept.text_key"))
