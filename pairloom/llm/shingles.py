@@ -19,6 +19,9 @@ WORDS, TENTHS, SEED = 5, 8, 42
 SAMPLED, FREQUENT, LISTED = 16, 3, 1 << 20
 #: rounds in which every shingle's texts are compared with one of them only
 STARS = 3
+#: bits of a sketch, which differ in two sets at no more places than the sets have shingles apart
+SKETCH = 512
+SETS = "node long, shingles array<long>, sketch array<long>"
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -51,7 +54,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(2):
             shingles = shingle_set(text.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(shingles)]), pa.array([shingles], pa.list_(pa.int64()))], ["node", "shingles"])
+            odd = np.packbits(np.bincount(shingles & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64)
+            columns = [pa.array([set_key(shingles)]), *(pa.array([x], pa.list_(pa.int64())) for x in (shingles, odd))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "sketch"])
 
 
 def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +64,7 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     They only order the shingles: any order gives the same pairs, a good one few candidates.
     """
-    sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).mapInArrow(_sets, "node long, shingles array<long>")
+    sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).mapInArrow(_sets, SETS)
     counted = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     found = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(LISTED).toArrow()
     shingles, n = (found.column(k).to_numpy() for k in ("shingle", "n"))
@@ -84,8 +89,8 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
             for text in batch.column(2):
                 shingles = shingle_set(text.as_py())
                 rare = prefix(shingles, frequent)
-                columns = [rare, np.full(len(rare), set_key(shingles)), np.full(len(rare), len(shingles))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shingle", "node", "size"])
+                columns = [rare, np.full(len(rare), set_key(shingles)), np.full(len(rare), len(shingles)), len(shingles) - np.arange(len(rare))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shingle", "node", "size", "rest"])
 
     return run
 
@@ -98,9 +103,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs(one: DataFrame, other: DataFrame, apart) -> DataFrame:
-    """Distinct (a, b) of rows with one shingle whose sizes allow near-duplicates."""
+    """Distinct (a, b) of rows with one shingle whose bounds allow near-duplicates.
+
+    At the rarest shingle of both, ``rest`` (the shingles from there on) bounds what they share; the sketches
+    bound what they do not.
+    """
     both = one.alias("x").join(other.alias("y"), "shingle").where(apart)
-    near = F.least("x.size", "y.size") * 10 >= F.greatest("x.size", "y.size") * TENTHS
+    sizes = F.col("x.size") + F.col("y.size")
+    odd = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    near = (F.least("x.rest", "y.rest") * (10 + TENTHS) >= sizes * TENTHS) & (odd * (10 + TENTHS) <= sizes * (10 - TENTHS))
     return both.where(near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -111,19 +122,21 @@ def near_duplicate_sets(texts: DataFrame, prints: DataFrame) -> DataFrame:
     First all sets with a shingle are compared with one of them, so that a large group of near copies becomes
     one component by as many comparisons; then all that are still apart are compared with each other.
     """
-    rare = texts.mapInArrow(_prefixes(frequent_shingles(texts)), "shingle long, node long, size long")
+    rare = texts.mapInArrow(_prefixes(frequent_shingles(texts)), "shingle long, node long, size long, rest long")
     ends = rare.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     common = stored(ends.where("low <> high").select("shingle"))
     members = stored(rare.join(common, "shingle").distinct())
     bearers = prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
     sets = texts.join(stored(bearers.select("text_key")), "text_key", "left_semi").select("track_id", "text_key", "text")
-    sets = stored(sets.dropDuplicates(["text_key"]).mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    sets = stored(sets.dropDuplicates(["text_key"]).mapInArrow(_sets, SETS).dropDuplicates(["node"]))
+    members = stored(members.join(sets.select("node", "sketch"), "node"))
+    sets = sets.drop("sketch")
     links = stored(members.sparkSession.createDataFrame([], "a long, b long"))
     left = members.withColumn("root", F.col("node"))
     for turn in range(STARS + 1):
         if turn < STARS:
-            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "size", "root")).alias("first")
-            star = left.groupBy("shingle").agg(first).select("shingle", "first.node", "first.size", "first.root")
+            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "size", "rest", "sketch", "root")).alias("first")
+            star = left.groupBy("shingle").agg(first).select("shingle", "first.node", "first.size", "first.rest", "first.sketch", "first.root")
             pairs = _pairs(star, left, F.col("x.root") != F.col("y.root"))
         else:
             pairs = _pairs(left, left, F.col("x.root") < F.col("y.root"))
