@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.storage import bounded_batches
+from pairloom.llm.storage import bounded_batches, stored
 
 #: similarity (1 - edits / item length) of a passage, items in a block that is sent to all tasks
 SIMILARITY, ITEM_BLOCK = 0.8, 5000
@@ -147,23 +147,27 @@ def contaminated_passages(
     item would lie, and the item-sized passage there is checked by exact edit distance: at most
     ``1 - similarity`` times the item's length. Items go to the tasks in blocks of ``item_block``, each a pass
     over the tracks. Items whose plain form is shorter than a walk are found only if equal windows fit in
-    them; empty ones and items without id are left out. Null texts have no passages, repeated rows repeat theirs.
+    them; empty ones and items without id are left out; items with equal
+    text have a row each. Null texts have no passages, repeated rows repeat theirs.
     """
     bounded_batches(tracks.sparkSession)
-    held = items.where("item_id is not null and text is not null")
-    held = held.groupBy(F.col("text").cast("binary").alias("text")).agg(F.min("item_id").cast("long").alias("item_id"))
+    named = items.where("item_id is not null and text is not null")
+    key, words = F.xxhash64("text").alias("item_key"), F.col("text").cast("binary").alias("text")
+    held = named.select(words).distinct().select("text", key)
+    named = stored(named.select(F.col("item_id").cast("long"), words).distinct().select("item_id", key))
     n_blocks = max(1, -(-held.count() // item_block))
     rows = tracks.select(F.col("track_id").cast("long"), F.xxhash64(text).alias("text_key"), F.col(text).cast("binary").alias("text"))
     passes = []
     for block in range(n_blocks):
-        part = held.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block).collect()  # bounded by item_block
-        listed = sorted((r["item_id"], plain(bytes(r["text"]))) for r in part)
+        part = held.where(F.pmod("item_key", F.lit(n_blocks)) == block).collect()  # bounded by item_block
+        listed = sorted((r["item_key"], plain(bytes(r["text"]))) for r in part)
         index = ItemIndex([x for x in listed if x[1]])
         passes.append(rows.mapInArrow(_passages(index, similarity), SCHEMA))
     out = passes[0]
     for more in passes[1:]:
         out = out.unionAll(more)
-    return out
+    columns = [column.split()[0] for column in SCHEMA.split(", ")]
+    return out.withColumnRenamed("item_id", "item_key").join(named, "item_key").select(*columns)
 
 
 def _passages(index: ItemIndex, similarity: float):

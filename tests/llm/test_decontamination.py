@@ -60,3 +60,12 @@ def test_blocks_give_the_same_rows(spark):
     tracks = items.selectExpr("item_id + 100 as track_id", "concat('before it ', text, ' and after') as lyrics")
     rows = [{tuple(r) for r in contaminated_passages(tracks, items, similarity=0.98, item_block=n).collect()} for n in (3, 5000)]
     assert rows[0] == rows[1] and len(rows[0]) >= 20
+
+
+def test_items_with_equal_text_have_a_row_each(spark):
+    text = "the words of a song that two benchmark tables hold under three different numbers and one that shares a number"
+    other = "some quite different question about rivers and mountains which nobody has ever answered in one short sentence"
+    items = spark.createDataFrame([(7, text), (3, text), (9, text), (3, text), (3, other)], "item_id long, text string")
+    tracks = spark.createDataFrame([(1, f"before {text} after"), (2, f"before {other} after"), (None, text)], "track_id long, lyrics string")
+    got = sorted((r.track_id or 0, r.item_id, r.edits, r.item_length) for r in contaminated_passages(tracks, items).collect())
+    assert got == sorted([(t, i, 0, len(text)) for t in (0, 1) for i in (3, 7, 9)] + [(2, 3, 0, len(other))])
