@@ -33,12 +33,15 @@ def fingerprint(text: bytes | None) -> int:
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends[WORDS - 1 :].tolist() or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    votes, total = np.zeros(64, np.int64), len(stops)
-    for at in range(0, total, 65536):
-        spans = zip(starts[at : at + 65536], stops[at : at + 65536])
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in spans], np.uint64)
-        votes += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > total, bitorder="little").view(np.int64)[0])
+    return majority_bits(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, stops)), np.uint64, len(stops)))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, repeats included."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

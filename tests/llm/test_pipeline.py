@@ -4,9 +4,9 @@ from collections import defaultdict
 import corpus_pipeline
 from pairloom.llm.decontamination import edits_of_best_passage, plain
 from pairloom.llm.packing import public_byte_bpe
-from pairloom.llm.simhash import fingerprint
 from pairloom.llm.toxicity import toxicity_scores
 from pairloom.llm.queries import training_labels, tracks_of
+from test_shingles import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,14 +22,8 @@ def test_every_stage_against_brute_force(spark):
         rows.append(docs.collect())
     kept = [{r.doc_id for r in part} for part in rows]
     assert kept[1] == kept[0] - toxic
-    prints = {r.doc_id: fingerprint((r.text or "").encode()) for r in rows[1]}
-    root = {t: t for t in prints}
-    for _ in range(len(root)):
-        step = {t: min(root[u] for u in prints if ((prints[t] ^ prints[u]) & (2**64 - 1)).bit_count() <= 2) for t in prints}
-        if step == root:
-            break
-        root = step
-    assert kept[2] == set(root.values())
+    first, _ = brute([(r.doc_id, r.text) for r in rows[1]])
+    assert kept[2] == first
     items = [plain(r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaks = {r.doc_id for r in rows[2] if any(edits_of_best_passage(i, plain(r.text.encode()))[0] <= int(0.2 * len(i)) for i in items)}
     assert kept[3] == kept[2] - leaks
