@@ -15,7 +15,9 @@ from pairloom.llm.secrets import announced_labels, secret_candidates, secret_fin
 from pairloom.llm.simhash import near_duplicate_groups
 from pairloom.llm.storage import stored
 from pairloom.llm.toxicity import toxicity_scores
+from pairloom.llm.trie import digest_of_lists, prefix_trie
 from pairloom.llm.urls import link_parts, link_verdicts, longest_rule
+from pairloom.operators.ranking import depth_bounds, depth_bucket, exact_rank
 
 # fixed values: the rules of op9
 URL_RULES = (
@@ -108,6 +110,27 @@ def op10_benchmark_passages(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("text_key").withColumnRenamed("track_id", "doc_id")
 
 
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, tracks): every conversation opens with the first turns of its hundred's first one."""
+    turns = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("track_id"), "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
+    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    ranked = exact_rank(turns, ["track_id"], order, depth_bucket(F.col("turn"), depth_bounds(turns, F.col("turn"))), name="position")
+    ranked = stored(ranked.select("track_id", "position", F.col("role").alias("label"), F.col("text").alias("lyrics")))
+    taken = (F.crc32(F.col("track_id").cast("string").cast("binary")) % 6).alias("taken")
+    tracks = ranked.select("track_id").distinct()
+    heirs = tracks.select(F.col("track_id").alias("heir"), taken, (F.col("track_id") - F.col("track_id") % 100).alias("track_id"))
+    first = ranked.where("position <= 5").join(heirs, "track_id").where("position <= taken").select(F.col("heir").alias("track_id"), "position", "label", "lyrics")
+    return first.unionAll(ranked.where(F.col("position") > taken)), tracks
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    sections, tracks = _rebuilt(spark.read.parquet(f"{sf}/conversations.parquet"))
+    trie = prefix_trie(stored(sections), tracks)
+    ends = digest_of_lists(trie.ends, ["node_id", "depth"], "track_id", "ends_sha256").withColumnRenamed("node_id", "track_id")
+    nodes = trie.nodes.join(ends, ["track_id", "depth"], "left").withColumnsRenamed({"track_id": "conv_id", "parent_id": "parent_conv_id", "n_tracks": "n_convs", "saved": "saved_tokens"})
+    return nodes.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+
+
 QUERIES = {
     "op1_secret_findings": op1_secret_findings,
     "op2_maxscore_top5": op2_maxscore_top5,
@@ -119,6 +142,7 @@ QUERIES = {
     "op8_licence_digests": op8_licence_digests,
     "op9_url_verdicts": op9_url_verdicts,
     "op10_benchmark_passages": op10_benchmark_passages,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL = {
     "op2_maxscore_top5": """WITH v AS (
@@ -130,4 +154,34 @@ s AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5""",
     "op8_licence_digests": SCAN_SQL,
+    "op13_prefix_trie": """WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT c, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+      lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT crc.c, p, role, text FROM crc JOIN t ON t.c = crc.c - crc.c % 100 AND p <= h
+  UNION ALL SELECT t.c, p, role, text FROM t JOIN crc USING (c) WHERE p > h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY p) AS d, role, text FROM r),
+path AS (
+  SELECT c, d, length(text) AS n, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY d) AS seq FROM s
+  UNION ALL SELECT c, 0, 0, [] FROM crc),
+owned AS (SELECT c, d, n, min(c) OVER (PARTITION BY seq) AS o, count(*) OVER (PARTITION BY seq) AS k FROM path),
+node AS (
+  SELECT x.o, x.d, x.n, x.k, y.o AS up FROM owned x LEFT JOIN owned y ON y.c = x.c AND y.d = x.d - 1 WHERE x.c = x.o),
+kids AS (SELECT up, d - 1 AS d, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(kids.k, 0) AS ch FROM node LEFT JOIN kids ON kids.up = node.o AND kids.d = node.d),
+sums AS (
+  SELECT a.o, a.d, sum(CAST(f.ch = 0 AS BIGINT)) AS leaves, sum((f.k - 1) * f.n) AS saved
+  FROM full_node f JOIN owned a ON a.c = f.o AND a.d <= f.d GROUP BY ALL),
+ends AS (
+  SELECT o, d, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h
+  FROM (SELECT * FROM owned QUALIFY d = max(d) OVER (PARTITION BY c)) GROUP BY ALL)
+SELECT f.o AS conv_id, f.d AS depth, f.up AS parent_conv_id, f.k AS n_convs, f.ch AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends.h, sha256('')) AS ends_sha256
+FROM full_node f JOIN sums USING (o, d) LEFT JOIN ends USING (o, d)""",
 }
