@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.alignment import token_alignments
 from pairloom.llm.brown import class_model_scores
 from pairloom.llm.decontamination import contaminated_passages
 from pairloom.llm.licences import SCAN_SQL, licence_scan, notices
@@ -110,6 +113,12 @@ def op10_benchmark_passages(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("text_key").withColumnRenamed("track_id", "doc_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    digest = lambda groups: hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+    found = token_alignments(_tracks(spark, sf), finish=digest)
+    return found.withColumnsRenamed({"track_id": "doc_id", "groups": "groups_sha256"})
+
+
 def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sections, tracks): every conversation opens with the first turns of its hundred's first one."""
     turns = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("track_id"), "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
@@ -142,6 +151,7 @@ QUERIES = {
     "op8_licence_digests": op8_licence_digests,
     "op9_url_verdicts": op9_url_verdicts,
     "op10_benchmark_passages": op10_benchmark_passages,
+    "op11_token_alignment": op11_token_alignment,
     "op13_prefix_trie": op13_prefix_trie,
 }
 SQL = {
