@@ -23,6 +23,7 @@ HEADLINE = (
     "e06_mel_bands",
     "e15_fourier_artifacts",
     "e16_assemble_combined",
+    "e16_full_size_windows",
     "j06_convolve_blocks",
     "k04_feature_stats",
     "f01_cosine01_native",

@@ -1,13 +1,16 @@
-"""Window descriptors of each user's event values (windows of 64, frames of 64, hop 8)."""
+"""Window descriptors of each user's event values (windows of 64, frames of 64, hop 8); once at full size."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import r6, with_sql
+from checks.base import r6, table, with_sql
 from checks.windows import SERIES_SQL, chunks_sql, series
 from pairloom.operators import descriptors as ops
-from pairloom.operators.spectrum import frame_count, mean_magnitude, spectrum, spectrum_frames
+from pairloom.operators import kernels
+from pairloom.operators.blocks import block_table, map_windows
+from pairloom.operators.ranking import depth_bounds, depth_bucket, exact_rank
+from pairloom.operators.spectrum import frame_count, mean_magnitude, spectrum
 from pairloom.operators.windows import chunk_rows
 from pairloom.plans import feature_job
 
@@ -28,8 +31,9 @@ def _spec(spark, sf):
     return spectrum(_chunks(spark, sf), W, N, HOP)
 
 
-def _compact(spark, sf):
-    return spectrum_frames(_chunks(spark, sf), W, N, HOP)
+def _part(name):
+    """A query of one descriptor, made from blocks."""
+    return lambda spark, sf: _rounded(feature_job.slot_rows(feature_job.window_parts(series(spark, sf), (name,), W, S, N, HOP, SR)))
 
 
 def _rounded(df, digits=DIGITS):
@@ -46,6 +50,17 @@ SPEC = f"""spec0 AS (SELECT {K}, frame, bin,
   FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * j / {N}) AS h FROM frm),
        (SELECT unnest(range(0, {BINS})) AS bin) GROUP BY {K}, frame, bin),
 spec AS (SELECT *, re * re + im * im AS p, sqrt(re * re + im * im) AS mag FROM spec0)"""
+# the same over ends that reflect
+REFLECTED = f"""mir AS (SELECT {K}, i, value FROM chk
+  UNION ALL SELECT {K}, -i, value FROM chk WHERE i BETWEEN 1 AND {N // 2}
+  UNION ALL SELECT {K}, {2 * (W - 1)} - i, value FROM chk WHERE i BETWEEN {W - 1 - N // 2} AND {W - 2}),
+frr AS (SELECT {K}, f AS frame, i - f * {HOP} + {N // 2} AS j, value
+  FROM mir, (SELECT unnest(range(0, {T})) AS f) WHERE i - f * {HOP} + {N // 2} BETWEEN 0 AND {N - 1}),
+ref0 AS (SELECT {K}, frame, bin,
+    round(sum(value * h * cos(2 * pi() * j * bin / {N})), 9) AS re, round(-sum(value * h * sin(2 * pi() * j * bin / {N})), 9) AS im
+  FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * j / {N}) AS h FROM frr),
+       (SELECT unnest(range(0, {BINS})) AS bin) GROUP BY {K}, frame, bin),
+ref AS (SELECT *, re * re + im * im AS p FROM ref0)"""
 BASE = with_sql(SERIES_SQL, chunks_sql(W, S), FRAMES)
 FULL = with_sql(SERIES_SQL, chunks_sql(W, S), FRAMES, SPEC)
 
@@ -63,11 +78,12 @@ def final(name: str, digits: int = DIGITS) -> str:
 ZCR = f"""zc AS (SELECT {K}, frame, 0 AS band, sum(CASE WHEN (value < 0) <> (prev < 0) THEN 1 ELSE 0 END) / {N}.0::DOUBLE AS value
   FROM (SELECT *, lag(value) OVER (PARTITION BY {K}, frame ORDER BY j) AS prev FROM frm) GROUP BY {K}, frame)"""
 RMS = f"rm AS (SELECT {K}, frame, 0 AS band, sqrt(sum(value * value) / {N}) AS value FROM frm GROUP BY {K}, frame)"
-MEL = f"""edge AS (SELECT i, 700 * (pow(10::DOUBLE, log10(1 + 8000 / 700.0::DOUBLE) * i / 129) - 1) AS f FROM range(0, 130) t(i)),
+MEL = REFLECTED + f""",
+edge AS (SELECT i, 700 * (pow(10::DOUBLE, log10(1 + 8000 / 700.0::DOUBLE) * i / 129) - 1) AS f FROM range(0, 130) t(i)),
 fb AS (SELECT bin, a.i AS band,
     greatest(0.0, least((bin * 250 - a.f) / (b.f - a.f), (c.f - bin * 250) / (c.f - b.f))) AS w
   FROM (SELECT unnest(range(0, {BINS})) AS bin), edge a JOIN edge b ON b.i = a.i + 1 JOIN edge c ON c.i = a.i + 2),
-mel0 AS (SELECT {K}, frame, band, 10 * log10(greatest(sum(p * w), 1e-10)) AS v FROM spec JOIN fb USING (bin) GROUP BY {K}, frame, band),
+mel0 AS (SELECT {K}, frame, band, 10 * log10(greatest(sum(p * w), 1e-10)) AS v FROM ref JOIN fb USING (bin) GROUP BY {K}, frame, band),
 mel AS (SELECT {K}, frame, band, greatest(v, max(v) OVER (PARTITION BY {K}) - 80) AS value FROM mel0)"""
 CEP = f"""dct AS (SELECT band, coef, cos(pi() / 128 * (band + 0.5) * coef) * sqrt(2.0::DOUBLE / 128)
     * CASE WHEN coef = 0 THEN sqrt(0.5::DOUBLE) ELSE 1 END AS w
@@ -80,11 +96,12 @@ dlt AS (SELECT {K}, t AS frame, band, sum(value * j) / 60 AS value,
 dl2 AS (SELECT {K}, frame, band, value2 AS value FROM dlt),
 {pool_sql('pc0', 'cep', 20)}, {pool_sql('pc1', 'dlt', 20)}, {pool_sql('pc2', 'dl2', 20)},
 pcep AS (SELECT * FROM pc0 UNION ALL SELECT {K}, slot + 40, value FROM pc1 UNION ALL SELECT {K}, slot + 80, value FROM pc2)"""
-CHROMA = f"""pit AS (SELECT bin, (CAST(round_even(12 * log2(bin * 250 / 440.0::DOUBLE), 0) AS BIGINT) + 69 + 1200) % 12 AS pc
-  FROM (SELECT unnest(range(1, {BINS})) AS bin)),
-cls AS (SELECT {K}, frame, pc AS band FROM (SELECT DISTINCT {K}, frame FROM spec), (SELECT unnest(range(0, 12)) AS pc)),
-chr0 AS (SELECT {K}, frame, pc AS band, sum(p) AS v FROM spec JOIN pit USING (bin) GROUP BY {K}, frame, pc),
-chr1 AS (SELECT c.*, coalesce(v, 0.0) AS v FROM cls c LEFT JOIN chr0 USING (track_id, chunk, frame, band)),
+CHROMA = f"""pp AS (SELECT bin, 12 * log2(greatest(bin, 1) * 250 / (440 / 16.0::DOUBLE)) - CASE WHEN bin = 0 THEN 18 ELSE 0 END AS x
+  FROM (SELECT unnest(range(0, {BINS + 1})) AS bin)),
+bell AS (SELECT bin, c, x, exp(-0.5 * pow(2 * (fmod(x - c + 126, 12) - 6) / greatest(next - x, 1), 2)) AS v
+  FROM (SELECT *, lead(x) OVER (ORDER BY bin) AS next FROM pp), (SELECT unnest(range(0, 12)) AS c) WHERE bin < {BINS}),
+pit AS (SELECT bin, (c + 9) % 12 AS pc, v / sqrt(sum(v * v) OVER (PARTITION BY bin)) * exp(-0.5 * pow((x / 12 - 5) / 2, 2)) AS w FROM bell),
+chr1 AS (SELECT {K}, frame, pc AS band, sum(p * w) AS v FROM spec JOIN pit USING (bin) GROUP BY {K}, frame, pc),
 chr AS (SELECT {K}, frame, band, CASE WHEN max(v) OVER (PARTITION BY {K}, frame) > 0
     THEN v / max(v) OVER (PARTITION BY {K}, frame) ELSE 0.0 END AS value FROM chr1)"""
 CONTRAST = f"""oct AS (SELECT b AS band, CASE WHEN b = 0 THEN 0 ELSE 200 * pow(2, b - 1) END AS lo,
@@ -116,6 +133,15 @@ pha AS (SELECT {K}, 0 AS slot, avg(dev) AS value FROM ph4 GROUP BY {K}
   UNION ALL SELECT {K}, 1, avg(a) FROM pb GROUP BY {K} UNION ALL SELECT {K}, 2, stddev_pop(a) FROM pb GROUP BY {K}
   UNION ALL SELECT {K}, 3, avg(b) FROM pb GROUP BY {K} UNION ALL SELECT {K}, 4, stddev_pop(b) FROM pb GROUP BY {K}
   UNION ALL SELECT {K}, 5, avg(g) FROM pf GROUP BY {K} UNION ALL SELECT {K}, 6, stddev_pop(g) FROM pf GROUP BY {K})"""
+HNR = f"""tap AS (SELECT j, 0.5 - 0.5 * cos(2 * pi() * j / {N}) AS h FROM (SELECT unnest(range(0, {N})) AS j)),
+cen AS (SELECT {K}, frame, sum(value) / {N} AS m FROM frm GROUP BY {K}, frame),
+yy AS (SELECT {K}, frame, j, h, (coalesce(value, 0.0) - m) * h AS y FROM cen CROSS JOIN tap LEFT JOIN frm USING (track_id, chunk, frame, j)),
+lg AS (SELECT a.track_id, a.chunk, a.frame, b.j - a.j AS lag, sum(a.y * b.y) AS o, sum(a.h * b.h) AS wt
+  FROM yy a JOIN yy b USING (track_id, chunk, frame) WHERE b.j - a.j IN (0, {', '.join(str(k) for k in range(26, 33))}) GROUP BY 1, 2, 3, 4),
+hr AS (SELECT track_id, chunk, frame, any_value(z.o) AS o0, max(CASE WHEN z.o > 1e-10 THEN l.o / z.o / (l.wt / z.wt) ELSE 0 END) AS r
+  FROM lg z JOIN lg l USING (track_id, chunk, frame) WHERE z.lag = 0 AND l.lag > 0 GROUP BY 1, 2, 3),
+hv AS (SELECT *, least(greatest(round(r, 9), 0), 1 - 1e-6::DOUBLE) AS c, o0 > 1e-10 AND round(r, 9) > 1e-3 AS voiced FROM hr),
+hnr AS (SELECT {K}, 0 AS slot, coalesce(avg(10 * log10(c / (1 - c))) FILTER (voiced), 0.0) AS value FROM hv GROUP BY {K})"""
 FLAT = f"""fla AS (SELECT {K}, frame, 0 AS band, exp(avg(ln(greatest(p, 1e-10)))) / avg(greatest(p, 1e-10)) AS value
   FROM spec GROUP BY {K}, frame)"""
 ROLL = f"""rl0 AS (SELECT {K}, frame, bin, sum(mag) OVER (PARTITION BY {K}, frame ORDER BY bin ROWS UNBOUNDED PRECEDING) AS c,
@@ -193,11 +219,13 @@ def _fft(spark, sf):
 QUERIES["e02_spectrum_fft"] = _fft
 SQL["e02_spectrum_fft"] = SQL["e02_spectrum"]
 
-QUERIES["e03_zero_crossing"] = lambda spark, sf: _rounded(
-    ops.pool_mean_std(
-        ops.zero_crossing(_chunks(spark, sf).withColumn("value", F.col("value") - 50.0), W, N, HOP), 1
-    )
-)
+def _crossings(spark, sf):
+    """The values are positive: whole windows are lowered, zeros behind the end included."""
+    lowered = lambda samples: kernels.window_slots(samples - 50.0, N, HOP, SR, ("zcr",), {})
+    return _rounded(feature_job.slot_rows(map_windows(block_table(series(spark, sf)), W, S, lambda: lowered)))
+
+
+QUERIES["e03_zero_crossing"] = _crossings
 SQL["e03_zero_crossing"] = (
     with_sql(
         SERIES_SQL, chunks_sql(W, S).replace("chk AS (", "chk9 AS ("),
@@ -205,46 +233,43 @@ SQL["e03_zero_crossing"] = (
     )
     + final("out")
 )
-QUERIES["e04_rms"] = lambda spark, sf: _rounded(ops.pool_mean_std(ops.rms(_chunks(spark, sf), W, N, HOP), 1))
+QUERIES["e04_rms"] = _part("rms")
 SQL["e04_rms"] = BASE + "," + RMS + "," + pool_sql("out", "rm", 1) + final("out")
 
-QUERIES["e05_cepstrum"] = lambda spark, sf: _rounded(
-    ops.cepstrum_features(ops.mel_bands(_compact(spark, sf), N, SR), T)
-)
+QUERIES["e05_cepstrum"] = _part("cepstrum")
 SQL["e05_cepstrum"] = FULL + "," + MEL + "," + CEP + final("pcep")
-QUERIES["e06_mel_bands"] = lambda spark, sf: _rounded(
-    ops.pool_mean_std(ops.mel_bands(_compact(spark, sf), N, SR), ops.N_MELS)
-)
+QUERIES["e06_mel_bands"] = _part("mel")
 SQL["e06_mel_bands"] = FULL + "," + MEL + "," + pool_sql("out", "mel", 128) + final("out")
-QUERIES["e07_chroma"] = lambda spark, sf: _rounded(ops.pool_mean_std(ops.chroma(_compact(spark, sf), N, SR), 12))
+QUERIES["e07_chroma"] = _part("chroma")
 SQL["e07_chroma"] = FULL + "," + CHROMA + "," + pool_sql("out", "chr", 12) + final("out")
-QUERIES["e08_spectral_contrast"] = lambda spark, sf: _rounded(
-    ops.pool_mean_std(ops.spectral_contrast(_spec(spark, sf), N, SR), 7)
-)
+QUERIES["e08_spectral_contrast"] = _part("contrast")
 SQL["e08_spectral_contrast"] = FULL + "," + CONTRAST + "," + pool_sql("out", "con", 7) + final("out")
-QUERIES["e09_tonal_centroid"] = lambda spark, sf: _rounded(
-    ops.pool_mean_std(ops.tonal_centroid(ops.chroma(_compact(spark, sf), N, SR)), 6)
-)
+QUERIES["e09_tonal_centroid"] = _part("tonal")
 SQL["e09_tonal_centroid"] = FULL + "," + CHROMA + "," + TONAL + "," + pool_sql("out", "ton", 6) + final("out")
-QUERIES["e10_phase_summary"] = lambda spark, sf: _rounded(ops.phase_summary(_spec(spark, sf), T))
+QUERIES["e10_phase_summary"] = _part("phase")
 SQL["e10_phase_summary"] = FULL + "," + PHASE + final("pha")
-QUERIES["e11_hnr_slot"] = lambda spark, sf: ops.hnr_slot(_chunks(spark, sf))
+QUERIES["e11_harmonics_to_noise"] = _part("hnr")
+SQL["e11_harmonics_to_noise"] = BASE + "," + HNR + final("hnr")
+QUERIES["e11_hnr_slot"] = _part("no_hnr")
 SQL["e11_hnr_slot"] = with_sql(SERIES_SQL, chunks_sql(W, S)) + (
     f"SELECT DISTINCT {K}, 0 AS slot, 0.0::DOUBLE AS value FROM chk"
 )
-QUERIES["e12_flatness"] = lambda spark, sf: _rounded(ops.pool_mean_std(ops.flatness(_spec(spark, sf)), 1))
+QUERIES["e12_flatness"] = _part("flatness")
 SQL["e12_flatness"] = FULL + "," + FLAT + "," + pool_sql("out", "fla", 1) + final("out")
-QUERIES["e13_rolloff_ratio"] = lambda spark, sf: _rounded(ops.rolloff_ratio(_spec(spark, sf), N, SR))
+QUERIES["e13_rolloff_ratio"] = _part("rolloff")
 SQL["e13_rolloff_ratio"] = FULL + "," + ROLL + final("rol")
-QUERIES["e14_ssm_novelty"] = lambda spark, sf: _rounded(ops.ssm_novelty(ops.chroma(_compact(spark, sf), N, SR), T))
+QUERIES["e14_ssm_novelty"] = _part("novelty")
 SQL["e14_ssm_novelty"] = FULL + "," + CHROMA + "," + NOVELTY + final("nov")
-QUERIES["e15_fourier_artifacts"] = lambda spark, sf: _rounded(ops.fourier_artifacts(_compact(spark, sf), N, T))
+QUERIES["e15_fourier_artifacts"] = _part("fourier")
 SQL["e15_fourier_artifacts"] = FULL + "," + FOURIER + final("fou")
 
 
-def _slots(spark, sf, tiers):
-    slots, _ = feature_job.window_slots(series(spark, sf), W, S, N, HOP, SR, tiers)
-    return _rounded(slots)
+def _vectors(tiers=(1, 2), **settings):
+    def run(spark, sf):
+        out = feature_job.window_vectors(series(spark, sf), tiers, w=W, s=S, n=N, hop=HOP, sr=SR, **settings)
+        return _rounded(feature_job.slot_rows(out))
+
+    return run
 
 
 _PARTS = {
@@ -253,7 +278,7 @@ _PARTS = {
 }
 
 
-def _assembled_sql(tiers) -> str:
+def _assembled_sql(tiers, hnr=HNR) -> str:
     offset, parts = 0, []
     for tier in tiers:
         for name, size in _PARTS[tier]:
@@ -261,7 +286,7 @@ def _assembled_sql(tiers) -> str:
             offset += size
     body = [
         FULL.rstrip(), MEL, CEP, CHROMA, CONTRAST, TONAL, ZCR, RMS, PHASE, FLAT, ROLL, NOVELTY, FOURIER,
-        f"hnr AS (SELECT DISTINCT {K}, 0 AS slot, 0.0 AS value FROM chk)",
+        hnr,
         pool_sql("pmel", "mel", 128), pool_sql("pchr", "chr", 12), pool_sql("pcon", "con", 7),
         pool_sql("pton", "ton", 6), pool_sql("pzc", "zc", 1), pool_sql("prm", "rm", 1), pool_sql("pfla", "fla", 1),
         "everything AS (" + "\n UNION ALL ".join(parts) + ")",
@@ -269,22 +294,37 @@ def _assembled_sql(tiers) -> str:
     return ",\n".join(body) + final("everything")
 
 
-QUERIES["e16_assemble_tier1"] = lambda spark, sf: _slots(spark, sf, (1,))
+QUERIES["e16_assemble_tier1"] = _vectors((1,))
 SQL["e16_assemble_tier1"] = _assembled_sql((1,))
-QUERIES["e16_assemble_tier2"] = lambda spark, sf: _slots(spark, sf, (2,))
+QUERIES["e16_assemble_tier2"] = _vectors((2,))
 SQL["e16_assemble_tier2"] = _assembled_sql((2,))
+QUERIES["e16_assemble_combined"] = _vectors()
+SQL["e16_assemble_combined"] = _assembled_sql((1, 2))
 
 
-def _vectors(spark, sf, path=None):
-    out = feature_job.window_vectors(series(spark, sf), w=W, s=S, n=N, hop=HOP, sr=SR, path=path)
-    return _rounded(out.select("track_id", "chunk", F.posexplode("features").alias("slot", "value")))
+def _by_join(path):
+    return lambda spark, sf: _rounded(feature_job.slot_rows(feature_job.window_vectors_by_join(series(spark, sf), W, S, N, HOP, SR, path)))
 
 
-QUERIES["e16_assemble_combined"] = _vectors
-SQL["e16_assemble_combined"] = _assembled_sql((1, 2))
-QUERIES["e16_assemble_by_join"] = lambda spark, sf: _vectors(spark, sf, "join")
-SQL["e16_assemble_by_join"] = SQL["e16_assemble_combined"]
+QUERIES["e16_assemble_by_join"] = _by_join("join")
+QUERIES["e16_assemble_by_aggregates"] = _by_join(None)
+for name in ("e16_assemble_by_join", "e16_assemble_by_aggregates"):
+    SQL[name] = _assembled_sql((1, 2), f"hnr AS (SELECT DISTINCT {K}, 0 AS slot, 0.0 AS value FROM chk)")
+
+
+def full_size_series(spark, sf):
+    """Prices of the line items as one signal per line number, in order of their orders."""
+    items = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("track_id"), F.col("l_orderkey").alias("at"), F.col("l_extendedprice").cast("double").alias("value"))
+    ranked = exact_rank(items, ["track_id"], [F.col("at"), F.col("value")], depth_bucket(F.col("at"), depth_bounds(items, F.col("at"))), total="n")
+    return ranked.select("track_id", (F.col("rn") - 1).alias("pos"), F.col("value") / 1e5 - 0.5, "n").toDF("track_id", "pos", "value", "n")
+
+
+def _full_size(spark, sf):
+    """Windows of 160 000 samples, frames of 2048, hop 512: the settings of the feature store."""
+    return _rounded(feature_job.slot_rows(feature_job.window_vectors(full_size_series(spark, sf))))
+
 
+QUERIES["e16_full_size_windows"] = _full_size
 QUERIES["e17_mean_magnitude"] = lambda spark, sf: _rounded(mean_magnitude(_spec(spark, sf)))
 SQL["e17_mean_magnitude"] = FULL + (
     f"SELECT {K}, bin, round(avg(mag), {DIGITS}) AS value FROM spec GROUP BY {K}, bin"

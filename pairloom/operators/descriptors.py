@@ -171,13 +171,21 @@ def cepstrum_features(
 
 
 def pitch_table(n: int, sr: int) -> list[tuple[int, int, float]]:
-    """(bin, pitch class, 1) by the nearest semitone; absent classes keep a zero row."""
+    """(bin, pitch class, weight): a bell around each bin's pitch, as wide as its distance to the next bin, at least a semitone.
+
+    A bin's weights have length 1 and fall off around the fifth octave; class 0 is C.
+    """
+    pitch = lambda k: N_PITCH * math.log2(k * sr / n / (440.0 / 16))
     rows = []
-    for k in range(1, n // 2 + 1):
-        semitone = round(12.0 * math.log2(k * sr / n / 440.0)) + 69
-        rows.append((k, semitone % N_PITCH, 1.0))
-    present = {r[1] for r in rows}
-    return rows + [(0, c, 0.0) for c in range(N_PITCH) if c not in present]
+    for k in range(n // 2 + 1):
+        at = pitch(k) if k else pitch(1) - 1.5 * N_PITCH
+        width = max(pitch(k + 1) - at, 1.0)
+        apart = [(at - c + 10.5 * N_PITCH) % N_PITCH - N_PITCH / 2 for c in range(N_PITCH)]
+        bell = [math.exp(-0.5 * (2.0 * x / width) ** 2) for x in apart]
+        length = math.sqrt(sum(x * x for x in bell))
+        octave = math.exp(-0.5 * ((at / N_PITCH - 5.0) / 2.0) ** 2)
+        rows += [(k, (c - 3) % N_PITCH, x / length * octave) for c, x in enumerate(bell)]
+    return rows
 
 
 def chroma(spec: DataFrame, n: int, sr: int) -> DataFrame:
@@ -283,7 +291,7 @@ def _constant_slots(df: DataFrame, size: int) -> DataFrame:
 
 
 def hnr_slot(chunks: DataFrame) -> DataFrame:
-    """Harmonics-to-noise slot, constant 0 (the fast mode of the feature set)."""
+    """Harmonics-to-noise slot of the fast mode, constant 0."""
     return _constant_slots(chunks, 1)
 
 

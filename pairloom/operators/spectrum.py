@@ -30,8 +30,14 @@ def frame_count(w: int, hop: int) -> int:
     return w // hop + 1
 
 
-def frame_rows(chunks: DataFrame, w: int, n: int, hop: int) -> DataFrame:
-    """(keys, frame, j, value): each sample of a window goes to the frames that cover it."""
+def frame_rows(chunks: DataFrame, w: int, n: int, hop: int, ends: str = "constant") -> DataFrame:
+    """(keys, frame, j, value): each sample of a window goes to the frames that cover it.
+
+    Beyond a window's ends lie zeros (no rows), or with ``ends`` "reflect" the samples before them in turn.
+    """
+    if ends == "reflect":
+        mirrored = F.filter(F.array(F.col("i"), -F.col("i"), 2 * (w - 1) - F.col("i")), lambda i: (i >= -(n // 2)) & (i < w + n // 2))
+        chunks = chunks.withColumn("i", F.explode(F.array_distinct(mirrored)))
     at = F.col("i") + n // 2
     lo = F.greatest(F.lit(0), F.ceil((at - (n - 1)) / F.lit(hop)))
     hi = F.least(F.lit(w // hop), F.floor(at / F.lit(hop)))
@@ -61,7 +67,7 @@ def basis(spark: SparkSession, n: int) -> DataFrame:
     return spark.createDataFrame(pdf)
 
 
-def _transform_windows(w: int, n: int, hop: int):
+def _transform_windows(w: int, n: int, hop: int, ends: str):
     hann = 0.5 - 0.5 * np.cos(2.0 * math.pi * np.arange(n) / n)
     starts = np.arange(w // hop + 1) * hop
     # windows transformed together, so that small ones are not handled one by one and large
@@ -72,8 +78,7 @@ def _transform_windows(w: int, n: int, hop: int):
         for batch in batches:
             for at in range(0, len(batch), together):
                 part = batch.iloc[at : at + together]
-                x = np.zeros((len(part), w + 2 * (n // 2)))
-                x[:, n // 2 : n // 2 + w] = np.stack(part["samples"].to_list())
+                x = np.pad(np.stack(part["samples"].to_list()), ((0, 0), (n // 2, n // 2)), mode=ends)
                 frames = np.lib.stride_tricks.sliding_window_view(x, n, axis=1)[:, starts] * hann
                 z = np.round(np.fft.rfft(frames, axis=2), _DIGITS).reshape(-1, n // 2 + 1)
                 yield pd.DataFrame(
@@ -95,7 +100,9 @@ def window_arrays(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(*KEYS).agg(ordered.getField("value").alias("samples"))
 
 
-def spectrum(chunks: DataFrame, w: int, n: int = FRAME, hop: int = HOP, path: str | None = None) -> DataFrame:
+def spectrum(
+    chunks: DataFrame, w: int, n: int = FRAME, hop: int = HOP, path: str | None = None, ends: str = "constant"
+) -> DataFrame:
     """Spectrum table of dense windows (``chunk_rows`` with padding).
 
     ``path`` is 'fft' (default) or 'join', which suits short frames only.
@@ -103,7 +110,7 @@ def spectrum(chunks: DataFrame, w: int, n: int = FRAME, hop: int = HOP, path: st
     if path == "join":
         # hashed by (track, window) once: every later group-by of a descriptor has these
         # keys as a prefix and needs no further exchange
-        frames = frame_rows(chunks.repartition(*KEYS), w, n, hop)
+        frames = frame_rows(chunks.repartition(*KEYS), w, n, hop, ends)
         table = F.broadcast(basis(chunks.sparkSession, n))
         return (
             frames.join(table, "j")
@@ -113,16 +120,16 @@ def spectrum(chunks: DataFrame, w: int, n: int = FRAME, hop: int = HOP, path: st
                 F.round(-F.sum(F.col("value") * F.col("s")), _DIGITS).alias("im"),
             )
         )
-    return long_spectrum(spectrum_frames(chunks, w, n, hop))
+    return long_spectrum(spectrum_frames(chunks, w, n, hop, ends))
 
 
-def spectrum_frames(chunks: DataFrame, w: int, n: int = FRAME, hop: int = HOP) -> DataFrame:
+def spectrum_frames(chunks: DataFrame, w: int, n: int = FRAME, hop: int = HOP, ends: str = "constant") -> DataFrame:
     """Compact form of the spectrum: (track_id, chunk, frame, re array, im array)."""
     types = dict(chunks.dtypes)
     schema = (
         f"track_id {types['track_id']}, chunk {types['chunk']}, frame int, re array<double>, im array<double>"
     )
-    return window_arrays(chunks).mapInPandas(_transform_windows(w, n, hop), schema).repartition(*KEYS)
+    return window_arrays(chunks).mapInPandas(_transform_windows(w, n, hop, ends), schema).repartition(*KEYS)
 
 
 def long_spectrum(frames: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def _padding(series: DataFrame, keys: Sequence[str], n: Column, w: int, s: int)
     last = window_count(n, w, s) - 1
     used = n - last * s
     first = series.where(F.col("pos") == 0).select(
-        *keys, "n", last.alias("chunk"), used.cast("int").alias("_used")
+        *keys, "n", last.alias("chunk"), F.greatest(used, F.lit(0)).cast("int").alias("_used")
     ).where(F.col("_used") < w)
     return first.select(
         *keys, "n", "chunk",

@@ -1,85 +1,99 @@
-"""Series -> windows -> spectrum -> feature vector (430 + 22 = 452 numbers)."""
+"""Series -> blocks -> windows -> feature vector (430 + 22 = 452 numbers)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pairloom.operators import descriptors as d
+from pairloom.operators import kernels
+from pairloom.operators.blocks import block_table, map_windows
 from pairloom.operators.spectrum import FRAME, HOP, frame_count, long_spectrum, spectrum, spectrum_frames
 from pairloom.operators.windows import chunk_rows
+from pairloom.session import cut_lineage
 
 RATE = 16000
 WINDOW = 10 * RATE
 STRIDE = 5 * RATE
-# fixed values: sizes of the descriptors in their order
-TIER1 = (("cepstrum", 120), ("mel", 256), ("chroma", 24), ("contrast", 14), ("tonal", 12), ("zcr", 2), ("rms", 2))
-TIER2 = (("phase", 7), ("hnr", 1), ("flatness", 2), ("rolloff", 1), ("novelty", 1), ("fourier", 10))
-TIER1_SIZE = sum(size for _, size in TIER1)
-TIER2_SIZE = sum(size for _, size in TIER2)
+# fixed values: the descriptors of either tier in their order
+TIER1 = ("cepstrum", "mel", "chroma", "contrast", "tonal", "zcr", "rms")
+TIER2 = ("phase", "hnr", "flatness", "rolloff", "novelty", "fourier")
+TIER1_SIZE = sum(kernels.SIZES[name] for name in TIER1)
+TIER2_SIZE = sum(kernels.SIZES[name] for name in TIER2)
+
+
+def window_parts(
+    series: DataFrame, parts: tuple[str, ...], w: int = WINDOW, s: int = STRIDE, n: int = FRAME, hop: int = HOP, sr: int = RATE,
+) -> DataFrame:
+    """(track_id, chunk, features): the named descriptors of every window, one after another.
+
+    ``series`` is a block table, or a long one that becomes one. Windows are cut from tiles of blocks and reduced
+    to their slots in one task: no sample, frame or bin is a row.
+    """
+    blocks = block_table(series) if "pos" in series.columns else series
+
+    def make():
+        shared: dict = {}
+        return lambda samples: kernels.window_slots(samples, n, hop, sr, parts, shared)
+
+    return map_windows(blocks, w, s, make)
+
+
+def window_vectors(series: DataFrame, tiers: tuple[int, ...] = (1, 2), skip_hnr: bool = False, **settings) -> DataFrame:
+    """One row per window with its feature array; ``skip_hnr`` leaves the harmonics-to-noise slot at 0."""
+    names = (TIER1 if 1 in tiers else ()) + (TIER2 if 2 in tiers else ())
+    return window_parts(series, tuple("no_hnr" if skip_hnr and name == "hnr" else name for name in names), **settings)
+
+
+def slot_rows(vectors: DataFrame) -> DataFrame:
+    """Long feature table (track_id, chunk, slot, value)."""
+    return vectors.select("track_id", "chunk", F.posexplode("features").alias("slot", "value"))
 
 
 def tier1_parts(
-    chunks: DataFrame, compact: DataFrame, spec: DataFrame, w: int, n: int, hop: int, sr: int
-) -> dict[str, DataFrame]:
-    count = frame_count(w, hop)
-    mel = d.mel_bands(compact, n, sr)
-    chroma = d.chroma(compact, n, sr)
-    return {
-        "cepstrum": d.cepstrum_features(mel, count),
-        "mel": d.pool_mean_std(mel, d.N_MELS),
-        "chroma": d.pool_mean_std(chroma, d.N_PITCH),
-        "contrast": d.pool_mean_std(d.spectral_contrast(spec, n, sr), d.CONTRAST_BANDS + 1),
-        "tonal": d.pool_mean_std(d.tonal_centroid(chroma), 6),
-        "zcr": d.pool_mean_std(d.zero_crossing(chunks, w, n, hop), 1),
-        "rms": d.pool_mean_std(d.rms(chunks, w, n, hop), 1),
-    }
+    chunks: DataFrame, mel: DataFrame, chroma: DataFrame, spec: DataFrame, w: int, n: int, hop: int, sr: int
+) -> list[tuple[DataFrame, int]]:
+    return [
+        (d.cepstrum_features(mel, frame_count(w, hop)), 120),
+        (d.pool_mean_std(mel, d.N_MELS), 256),
+        (d.pool_mean_std(chroma, d.N_PITCH), 24),
+        (d.pool_mean_std(d.spectral_contrast(spec, n, sr), d.CONTRAST_BANDS + 1), 14),
+        (d.pool_mean_std(d.tonal_centroid(chroma), 6), 12),
+        (d.pool_mean_std(d.zero_crossing(chunks, w, n, hop), 1), 2),
+        (d.pool_mean_std(d.rms(chunks, w, n, hop), 1), 2),
+    ]
 
 
 def tier2_parts(
-    chunks: DataFrame, compact: DataFrame, spec: DataFrame, w: int, n: int, hop: int, sr: int
-) -> dict[str, DataFrame]:
+    chunks: DataFrame, chroma: DataFrame, compact: DataFrame, spec: DataFrame, w: int, n: int, hop: int, sr: int
+) -> list[tuple[DataFrame, int]]:
     count = frame_count(w, hop)
-    return {
-        "phase": d.phase_summary(spec, count),
-        "hnr": d.hnr_slot(chunks),
-        "flatness": d.pool_mean_std(d.flatness(spec), 1),
-        "rolloff": d.rolloff_ratio(spec, n, sr),
-        "novelty": d.ssm_novelty(d.chroma(compact, n, sr), count),
-        "fourier": d.fourier_artifacts(compact, n, count),
-    }
-
-
-def window_slots(
-    series: DataFrame,
-    w: int = WINDOW,
-    s: int = STRIDE,
-    n: int = FRAME,
-    hop: int = HOP,
-    sr: int = RATE,
-    tiers: tuple[int, ...] = (1, 2),
-    path: str | None = None,
-) -> tuple[DataFrame, int]:
-    """Long feature table (track_id, chunk, slot, value) and its number of slots per window.
-
-    The spectrum is persisted once in its compact form, since every descriptor reads it; a
-    lost block is recomputed from the series. Band sums read that form, the others explode it.
+    return [
+        (d.phase_summary(spec, count), 7),
+        (d.hnr_slot(chunks), 1),
+        (d.pool_mean_std(d.flatness(spec), 1), 2),
+        (d.rolloff_ratio(spec, n, sr), 1),
+        (d.ssm_novelty(chroma, count), 1),
+        (d.fourier_artifacts(compact, n, count), 10),
+    ]
+
+
+def window_vectors_by_join(
+    series: DataFrame, w: int, s: int, n: int, hop: int, sr: int, path: str | None = None
+) -> DataFrame:
+    """The vectors of ``window_vectors(skip_hnr=True)`` as joins and aggregates over samples and bins.
+
+    For short windows and as a check of the kernels. Windows and spectra are read by every descriptor, so they
+    are checkpointed; ``path`` "join" also makes the spectra by a join with a basis.
     """
-    chunks = chunk_rows(series, w, s).repartition("track_id", "chunk").persist(StorageLevel.MEMORY_AND_DISK)
+    chunks = cut_lineage(chunk_rows(series, w, s).repartition("track_id", "chunk"))
     if path == "join":
-        compact = spec = spectrum(chunks, w, n, hop, path).persist(StorageLevel.MEMORY_AND_DISK)
+        compact = spec = cut_lineage(spectrum(chunks, w, n, hop, path))
+        reflected = spectrum(chunks, w, n, hop, path, "reflect")
     else:
-        compact = spectrum_frames(chunks, w, n, hop).persist(StorageLevel.MEMORY_AND_DISK)
-        spec = long_spectrum(compact)
-    parts: list[tuple[DataFrame, int]] = []
-    for tier, layout, make in ((1, TIER1, tier1_parts), (2, TIER2, tier2_parts)):
-        if tier in tiers:
-            made = make(chunks, compact, spec, w, n, hop, sr)
-            parts += [(made[name], size) for name, size in layout]
-    return d.place(*parts), sum(size for _, size in parts)
-
-
-def window_vectors(series: DataFrame, **settings) -> DataFrame:
-    """One row per window with its feature array."""
-    slots, size = window_slots(series, **settings)
-    return d.assemble(slots, size)
+        compact = cut_lineage(spectrum_frames(chunks, w, n, hop))
+        spec, reflected = long_spectrum(compact), spectrum_frames(chunks, w, n, hop, "reflect")
+    mel = cut_lineage(d.mel_bands(reflected, n, sr))
+    chroma = cut_lineage(d.chroma(compact, n, sr))
+    parts = tier1_parts(chunks, mel, chroma, spec, w, n, hop, sr) + tier2_parts(chunks, chroma, compact, spec, w, n, hop, sr)
+    return d.assemble(d.place(*parts), sum(size for _, size in parts))

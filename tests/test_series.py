@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import augment as aug
+from pairloom.operators import blocks
 from pairloom.operators import descriptors as d
+from pairloom.operators import kernels
 from pairloom.operators import windows as win
 from pairloom.operators.spectrum import spectrum
 from pairloom.plans import feature_job
@@ -64,6 +66,30 @@ def test_full_size_features(spark):
     assert rows["noise"][430 + 8] > rows["sine"][430 + 8]
 
 
+def test_blocks_give_the_windows_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    s = series(spark, {"a": rng.random(997), "b": rng.random(3), "c": rng.random(64), "d": rng.random(300)})
+    whole = lambda: lambda samples: samples.copy()
+    for w, stride, size in ((64, 32, 50), (64, 7, 1000), (10, 25, 16), (400, 130, 37)):
+        for tile in (blocks.BLOCK, 128):
+            monkeypatch.setattr(blocks, "BLOCK", tile)
+            got = blocks.map_windows(blocks.block_table(s, size), w, stride, whole)
+            flat = got.select("track_id", "chunk", F.posexplode("features").alias("i", "value"))
+            want = win.chunk_rows(s, w, stride)
+            assert flat.exceptAll(want).count() == 0 and want.exceptAll(flat).count() == 0
+
+
+def test_harmonics_to_noise_of_tones_and_noise():
+    t = np.arange(160000) / 16000
+    noise = np.random.default_rng(1).standard_normal(160000)
+    tone = np.sin(2 * np.pi * 200 * t)
+    values = {}
+    for name, x in {"tone": tone, "noisy": tone + 0.316 * noise, "noise": noise, "silence": 0 * t}.items():
+        values[name] = kernels.window_slots(x[None], 2048, 512, 16000, ("hnr",), {})[0, 0]
+    assert values["tone"] > 30 and values["silence"] == 0.0
+    assert values["noise"] < 0 and abs(values["noisy"] - 7.0) < 2.0
+
+
 def test_spectrum_against_direct_transform(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal(256)
