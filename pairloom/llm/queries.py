@@ -13,6 +13,7 @@ from pairloom.llm.decontamination import contaminated_passages
 from pairloom.llm.licences import SCAN_SQL, licence_scan, notices
 from pairloom.llm.maxscore import top_k_tracks
 from pairloom.llm.packing import pack_tracks
+from pairloom.llm.quality import quality_scores
 from pairloom.llm.repeats import without_repeats
 from pairloom.llm.secrets import announced_labels, secret_candidates, secret_findings
 from pairloom.llm.simhash import near_duplicate_groups
@@ -119,6 +120,12 @@ def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnsRenamed({"track_id": "doc_id", "groups": "groups_sha256"})
 
 
+def op12_quality(spark: SparkSession, sf: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("track_id"), "quality")
+    scored = quality_scores(_tracks(spark, sf), labels.where(_remainder(5) != 0))
+    return scored.select(F.col("track_id").alias("doc_id"), (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sections, tracks): every conversation opens with the first turns of its hundred's first one."""
     turns = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("track_id"), "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
@@ -152,6 +159,7 @@ QUERIES = {
     "op9_url_verdicts": op9_url_verdicts,
     "op10_benchmark_passages": op10_benchmark_passages,
     "op11_token_alignment": op11_token_alignment,
+    "op12_quality": op12_quality,
     "op13_prefix_trie": op13_prefix_trie,
 }
 SQL = {
