@@ -155,17 +155,28 @@ def _repeated_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield spans(held)
 
 
+def _content(raw: bytes) -> int:
+    """The hash of a run's bytes, as in ``segments``."""
+    values = _VALUE[np.frombuffer(raw, np.uint8)]
+    total = sum(((values[k : k + _SIZE] * _POWER[: len(values[k : k + _SIZE])]).sum(dtype=np.uint64) * _POWER[k] for k in range(0, len(values), _SIZE)), np.uint64(0))
+    return int(_mixed(np.array([total], np.uint64)).view(np.int64)[0])
+
+
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the wanted runs; where an id has several texts, only of those that hold the run at its place."""
     names = ["large", "gram", "track_id", "first", "windows", "raw"]
     kinds = (pa.bool_(), *(pa.int64(),) * 4, pa.binary())
     opened = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for track, packed, wanted in zip(*batch.columns):
+        for track, packed, wanted, several in zip(*batch.columns):
             text = opened.decompress(packed.as_py())
             for w in wanted.as_py():
                 first, n = w["first"], w["windows"]
-                out.append((w["large"], w["gram"], track.as_py(), first, n, text[first : first + n - 1 + MATCH]))
+                raw = text[first : first + n - 1 + MATCH]
+                if several.as_py() and (len(raw) < n - 1 + MATCH or _content(raw) != w["content"]):
+                    continue
+                out.append((w["large"], w["gram"], track.as_py(), first, n, raw))
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
                 out = []
@@ -193,7 +204,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """(track_id, start, stop) byte spans of ``rows`` (track_id, text as binary) that also start earlier; they may overlap.
 
     1. Grams that name a window in more than one run are found from counts summed in the tasks.
-    2. Runs of equal bytes keep their earliest place, all others are removed whole.
+    2. Runs of equal bytes (equal gram, length and 64-bit hash) keep their earliest place, all others are removed whole.
     3. Among the different runs of one gram, suffix arrays give the previous factors of all windows. A gram
        with more than ``LARGE`` different runs is dealt by window instead, whose earliest place is an aggregate.
     """
@@ -202,15 +213,17 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     grams = stored(grams.where("n > 1").select("gram"))
     runs = named.mapInArrow(_segment_rows, "gram long, content long, first long, windows long, track_id long")
     runs = stored(runs.join(grams, "gram"))
-    earliest = F.min(F.struct("track_id", "first", "windows")).alias("kept")
-    kept = stored(runs.groupBy("gram", "content").agg(earliest, F.count(F.lit(1)).alias("n")))
-    places = kept.where("n > 1").select("gram", "content", F.col("kept.track_id").alias("t"), F.col("kept.first").alias("f"))
-    copies = runs.join(stored(places), ["gram", "content"]).where((F.col("track_id") != F.col("t")) | (F.col("first") != F.col("f")))
+    earliest = F.min(F.struct("track_id", "first")).alias("kept")
+    kept = stored(runs.groupBy("gram", "content", "windows").agg(earliest, F.count(F.lit(1)).alias("n")))
+    places = kept.where("n > 1").select("gram", "content", "windows", F.col("kept.track_id").alias("t"), F.col("kept.first").alias("f"))
+    copies = runs.join(stored(places), ["gram", "content", "windows"]).where((F.col("track_id") != F.col("t")) | (F.col("first") != F.col("f")))
     whole = copies.select("track_id", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (MATCH - 1)).alias("stop"))
     mixed = stored(kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > LARGE).alias("large")))
-    wanted = kept.select("gram", "kept.*").join(mixed, "gram").groupBy("track_id").agg(F.collect_list(F.struct("large", "gram", "first", "windows")).alias("wanted"))
+    wanted = kept.select("gram", "content", "windows", "kept.*").join(mixed, "gram").groupBy("track_id").agg(F.collect_list(F.struct("large", "gram", "first", "windows", "content")).alias("wanted"))
+    texts = named.select("track_id", F.xxhash64("text").alias("h")).groupBy("track_id").agg((F.min("h") != F.max("h")).alias("several"))
+    wanted = wanted.join(texts, "track_id")
     packed = named.mapInArrow(_packed, "track_id long, packed binary")
-    cut = packed.join(wanted, "track_id").select("track_id", "packed", "wanted")
+    cut = packed.join(wanted, "track_id").select("track_id", "packed", "wanted", "several")
     cut = stored(cut.mapInArrow(_cut_segments, "large boolean, gram long, track_id long, first long, windows long, raw binary"))
     dealt = cut.where("not large").select("gram", "track_id", "first", "windows", "raw").repartition("gram").sortWithinPartitions("gram")
     partly = dealt.mapInArrow(_repeated_spans, "track_id long, start long, stop long")
@@ -229,7 +242,7 @@ def without_repeats(tracks: DataFrame, text: str = "lyrics") -> DataFrame:
     smaller id, or before in the same track. Strings are judged on the input, matches do not cross tracks.
     ``spans`` are the maximal removed runs (start, stop), ``kept`` the other bytes. A null text is empty. Rows
     without track_id take no part and stay whole. Rows that share an id count as one track: equal places
-    are no earlier ones, and spans are pooled.
+    are no earlier ones, and spans are pooled, also of texts that differ; a span ends where a text does.
     """
     bounded_batches(tracks.sparkSession)
     rows = tracks.select(F.col("track_id").cast("long"), F.col(text).cast("binary").alias("text"))

@@ -89,3 +89,38 @@ def test_empty_and_repeated_rows(spark):
     text = "some words that go on and on " * 3 + "until the line is long enough to count as one whole string of its own"
     rows = spark.createDataFrame([(1, text, ""), (1, text, ""), (2, text, "")], SCHEMA)
     assert sorted((r.track_id, len(r.kept)) for r in without_repeats(rows).collect()) == [(1, len(text)), (1, len(text)), (2, 0)]
+
+
+def test_an_id_with_a_long_and_a_short_text(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("aeioulmst") for _ in range(rnd.randint(1, 7)))
+    shared, own = (" ".join(word() for _ in range(60)) for _ in "12")
+    long = own + " " + shared + " " + " ".join(word() for _ in range(90))
+    other = " ".join(word() for _ in range(40)) + " " + shared + "!"
+    rows = [(5, long, ""), (5, "short", ""), (5, other[:150], ""), (3, shared + " tail", ""), (9, other, ""), (9, None, "")]
+    rows += [(20 + i, shared[i:] + f" {i} " + own[: 200 + i], "") for i in range(5)]
+    got = without_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows)
+
+    def of(track, text):
+        raw = (text or "").encode()
+        return next(r for r in got if r.track_id == track and r.n_bytes == len(raw))
+
+    # every string's earliest place, over all texts of an id
+    places = {}
+    for track, text, _ in rows:
+        raw = (text or "").encode()
+        for s in range(len(raw) - 99):
+            places.setdefault(raw[s : s + 100], set()).add((track, s))
+    pooled = {}
+    for track, text, _ in rows:
+        raw = (text or "").encode()
+        for s in range(len(raw) - 99):
+            if min(places[raw[s : s + 100]]) < (track, s):
+                pooled.setdefault(track, set()).update(range(s, s + 100))
+    for track, text, _ in rows:
+        raw = (text or "").encode()
+        gone = {k for k in pooled.get(track, ()) if k < len(raw)}
+        row = of(track, text)
+        assert {k for s in row.spans for k in range(s.start, s.stop)} == gone
+        assert bytes(row.kept) == bytes(c for k, c in enumerate(raw) if k not in gone)
