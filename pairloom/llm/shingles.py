@@ -18,8 +18,10 @@ from pairloom.llm.storage import Scratch, bounded_batches, stored
 WORDS, TENTHS, SEED = 5, 8, 42
 #: one in so many sets is read for frequent shingles, which are those of so many of these sets, at most so many
 SAMPLED, FREQUENT, LISTED = 16, 3, 1 << 18
-#: sets of a shingle that all its sets are compared with first
-STARS = 3
+#: sets of a shingle that all its sets are compared with first: one alone, then the others
+STARS = 4
+#: rows of a shingle from which its rows carry their sketches into the last comparison
+CROWD = 32
 #: bits of a sketch, which differ in two sets at no more places than the sets have shingles apart
 SKETCH = 512
 DESCRIBED = "track_id long, text_key long, node long, size int, fp long, sketch binary, text binary"
@@ -156,6 +158,16 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
+def _words(sketch: str) -> list[Column]:
+    """A sketch as whole numbers."""
+    return [F.conv(F.hex(F.substring(sketch, 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH // 64)]
+
+
+def _apart(one: str, other: str) -> Column:
+    """Bits in which two sketches differ: no more than the shingles that only one of the sets has."""
+    return sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])) for k in range(SKETCH // 64)), F.lit(0))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The proposed pairs of sets that share ``TENTHS`` tenths of their shingles: first by sketches, then by the sets.
 
@@ -164,11 +176,9 @@ def _links(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.keep(pairs.distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     known = scratch.keep(sets.join(ends, "node").select("node", "size", "sketch", "text"))
-    words = lambda c: [F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH // 64)]
-    brief = known.select("node", "size", F.array(*words("sketch")).alias("odd"))
+    brief = known.select("node", "size", F.array(*_words("sketch")).alias("odd"))
     both = pairs.join(brief.toDF("a", "size_a", "odd_a"), "a").join(brief.toDF("b", "size_b", "odd_b"), "b")
-    apart = sum((F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(SKETCH // 64)), F.lit(0))
-    near = scratch.keep(both.where(apart * (10 + TENTHS) <= (F.col("size_a") + F.col("size_b")) * (10 - TENTHS)).select("a", "b"))
+    near = scratch.keep(both.where(_apart("odd_a", "odd_b") * (10 + TENTHS) <= (F.col("size_a") + F.col("size_b")) * (10 - TENTHS)).select("a", "b"))
     texts = known.select("node", "text")
     full = near.join(texts.toDF("a", "of_a"), "a").join(texts.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
     links = scratch.keep(full.mapInArrow(_similar, "a long, b long"))
@@ -188,33 +198,42 @@ def near_duplicate_sets(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of the shingle sets that have near-duplicates: root is the smallest that can be reached.
 
     Two sets that share ``TENTHS`` tenths of their shingles share one of their rarest ones (prefix filter, exact).
-    First every set meets what SimHash proposes and a few sets of each of its rare shingles, so that a large group of
-    near copies becomes one component by as many comparisons. Then, under each shingle, the sets outside its
-    largest component meet the other components' sets of like size.
+    First every set meets what SimHash proposes, then one set of each of its rare shingles, then a few more, unless both
+    are in one component by then: a large group of near copies takes a few comparisons for each of its sets. Last, under
+    each shingle, the sets outside its largest component meet the sets of the other components; where they are many, their
+    sketches go with them, so that only pairs which may be near-duplicates leave the join.
     """
     rare = sets.select("node", "text").mapInArrow(_prefixes(frequent_shingles(sets)), "shingle long, node long, bounds long")
     # a frequent shingle's rows are dealt by both columns: they are kept without looking at each other
     dealt = F.when(F.col("bounds").bitwiseAND(F.lit(1)) == 1, F.xxhash64("shingle", "node")).otherwise(F.col("shingle"))
     ordered = rare.repartition(dealt).sortWithinPartitions("shingle")
     members = scratch.bucketed(ordered.mapInArrow(_in_several, "shingle long, node long, bounds long"), "shingle")
-    proposed = simhash_pairs(sets, scratch)
-    if STARS:
-        centres = (F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "bounds")) for turn in range(STARS))
-        stars = members.groupBy("shingle").agg(F.array_distinct(F.array(*centres)).alias("c"))
-        stars = stars.select("shingle", F.explode("c").alias("c")).select("shingle", "c.node", "c.bounds")
-        proposed = proposed.unionAll(_near_pairs(stars.alias("x").join(members.alias("y"), "shingle")))
-    links = _links(proposed, sets, scratch)
+    links = _links(simhash_pairs(sets, scratch), sets, scratch)
+    for turns in (range(min(STARS, 1)), range(1, STARS)):
+        if not turns:
+            continue
+        centre = lambda turn: F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "bounds"))
+        stars = members.groupBy("shingle").agg(F.array(*map(centre, turns)).alias("c")).select("shingle", F.explode("c").alias("c"))
+        proposed = _near_pairs(stars.select("shingle", "c.node", "c.bounds").alias("x").join(members.alias("y"), "shingle")).distinct()
+        roots = connected_components(links)
+        for side in "ab":
+            proposed = proposed.join(roots.toDF(side, f"root_{side}"), side, "left")
+        proposed = proposed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        links = links.unionAll(_links(proposed, sets, scratch))
     roots = connected_components(links)
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = scratch.bucketed(placed.select("shingle", "node", "bounds", "root"), "shingle")
     scratch.drop(members)
     by_root = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = by_root.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("shingle", F.col("m.root").alias("main"))
-    mixed = scratch.keep(placed.join(largest, "shingle").withColumn("bin", F.floor(F.log(F.shiftright("bounds", 32).cast("double")) / F.log(F.lit(10 / TENTHS)))))
+    largest = by_root.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("rows")).where("roots > 1")
+    mixed = scratch.bucketed(placed.join(largest.select("shingle", F.col("m.root").alias("main"), "rows"), "shingle"), "shingle")
     scratch.drop(placed)
-    others = mixed.where("root <> main").withColumn("bin", F.explode(F.array(*(F.col("bin") + d for d in (-1, 0, 1)))))
     once = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    more = _links(_near_pairs(others.alias("x").join(mixed.alias("y"), ["shingle", "bin"]).where(once)), sets, scratch)
+    met = lambda rows: rows.where("root <> main").alias("x").join(rows.alias("y"), "shingle").where(once)
+    few, many = mixed.where(F.col("rows") < CROWD), mixed.where(F.col("rows") >= CROWD)
+    many = scratch.keep(many.join(sets.select("node", F.array(*_words("sketch")).alias("odd")), "node"))
+    alike = _apart("x.odd", "y.odd") * (10 + TENTHS) <= (_size("x") + _size("y")) * (10 - TENTHS)
+    more = _links(_near_pairs(met(few)).unionAll(_near_pairs(met(many).where(alike))), sets, scratch)
     return connected_components(links.unionAll(more))
 
 

@@ -48,7 +48,7 @@ def test_stage_keeps_one_of_all_texts_with_similarity_08(spark, monkeypatch):
     assert len(near) > 100 and len(want) > 40
     assert any(list(prints[a]) != list(prints[b]) for a, b in near)
     docs = spark.createDataFrame([(t, x, "s") for t, x in rows], SCHEMA)
-    for stars, sampled in ((3, 16), (0, 1), (1, 1)):
+    for stars, sampled in ((2, 16), (0, 1), (1, 1)):
         monkeypatch.setattr(shingles, "STARS", stars)
         monkeypatch.setattr(shingles, "SAMPLED", sampled)
         kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, None).collect()
