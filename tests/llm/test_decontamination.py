@@ -51,7 +51,7 @@ def test_planted_passages_and_brute_force(spark):
     found = {(r.track_id, r.item_id): r.edits for r in got}
     assert planted <= set(want) and set(found) <= set(want)
     assert len(found) >= 0.97 * len(want) and {(902, 1), (None, 0)} <= set(found)
-    assert sum(found[k] == want[k] for k in found) >= 0.99 * len(found)
+    assert all(found[k] == want[k] for k in found)
     assert contaminated_passages(tracks, held.limit(0)).count() == contaminated_passages(tracks.limit(0), held).count() == 0
 
 
@@ -69,3 +69,37 @@ def test_items_with_equal_text_have_a_row_each(spark):
     tracks = spark.createDataFrame([(1, f"before {text} after"), (2, f"before {other} after"), (None, text)], "track_id long, lyrics string")
     got = sorted((r.track_id or 0, r.item_id, r.edits, r.item_length) for r in contaminated_passages(tracks, items).collect())
     assert got == sorted([(t, i, 0, len(text)) for t in (0, 1) for i in (3, 7, 9)] + [(2, 3, 0, len(other))])
+
+
+def edited(rnd, item, share, kinds):
+    out = list(item)
+    for _ in range(int(share * len(item))):
+        at, kind, c = rnd.randrange(len(out)), rnd.choice(kinds), rnd.choice("abcdefghijklmnopqrstuvwxyz ")
+        if kind == "insert":
+            out.insert(at, c)
+        else:
+            out[at : at + 1] = [c] if kind == "change" else []
+    return "".join(out)
+
+
+def test_recall_by_share_of_edits(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    rnd, rows, want = random.Random(3), [], {}
+    for share in (0.1, 0.15, 0.2):
+        for kinds in (["change"], ["change", "insert", "remove"]):
+            for i, text in items:
+                track = len(rows)
+                rows.append((track, f"some words before {edited(rnd, text, share, kinds)} and some after it", None))
+                item, whole = plain(text.encode()), plain(rows[-1][1].encode())
+                if edits_of_best_passage(item, whole)[0] <= int(0.2 * len(item)):
+                    want.setdefault((share, len(kinds)), set()).add((track, i))
+    found = {(r.track_id, r.item_id) for r in contaminated_passages(spark.createDataFrame(rows, SCHEMA).repartition(8), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {k: len(found & v) / len(v) for k, v in want.items()}
+    assert min(len(v) for v in want.values()) > 100 and min(recall.values()) >= 0.95, recall
+
+
+def test_short_items(spark):
+    items = [(1, "What is it?"), (2, "la"), (3, "the red door opens at noon"), (4, "a caption of some fifty bytes, no more than that."), (5, "Ünïcode wörds")]
+    rows = [(1, "and what is it then, la la", ""), (2, "WHAT IS IT", ""), (3, "somewhat is it", ""), (4, "when the red door opens at noon!", ""), (5, "so: a caption of some fifty bites, no more than that.", ""), (6, "ünïcode wörds Ünïcode wörds", ""), (7, "", ""), (8, "the red door opens at noonday", "")]
+    got = {(r.track_id, r.item_id): r.edits for r in contaminated_passages(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): 0, (1, 2): 0, (2, 1): 0, (4, 3): 0, (5, 4): 1, (6, 5): 0}
