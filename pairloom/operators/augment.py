@@ -1,25 +1,18 @@
-"""Augmentation of long series; every step keeps the length of the series.
+"""Augmentation of long series, a sample a row: the steps that need no other sample, and short convolutions.
 
+The whole chain works on blocks: see ``block_augment``. Every step keeps the length of the series.
 A series is (track_id, pos, value, n). Parameters are numbers or columns, so a step can draw
 its own strength per track. Random draws are hashes of (seed, track, position).
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.hashing import hash_between, hash_int, hash_normal, hash_unit
-from pairloom.operators.ranking import running_totals
-from pairloom.session import cut_lineage
+from pairloom.functions.hashing import hash_int, hash_normal, hash_unit
 
-BLOCK = 8192
-NOISE_BUCKET = 65536
 _COLS = ("track_id", "pos", "value", "n")
 
 
@@ -27,52 +20,6 @@ def _col(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def resample(series: DataFrame, new_length: Column) -> DataFrame:
-    """Linear resampling to ``new_length`` samples, then cut or zero-padded to the old length.
-
-    Target t reads source (t + 0.5)·n/new − 0.5 and weighs its two neighbours. Seen from the
-    source, a sample adds to the few targets within one step of it: an expansion and one
-    summing shuffle on (track, position), with no neighbour join and no window over a track.
-    """
-    rows = series.withColumn("_new", new_length.cast("bigint"))
-    scale = F.col("n") / F.col("_new")
-    target = lambda p: (p + F.lit(0.5)) / scale - F.lit(0.5)
-    last = F.least(F.col("_new"), F.col("n")) - 1
-    lo = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.ceil(target(F.col("pos") - 1)))
-    hi = F.when(F.col("pos") == F.col("n") - 1, last).otherwise(F.floor(target(F.col("pos") + 1)))
-    rows = rows.withColumn("_lo", F.greatest(lo, F.lit(0)).cast("bigint")).withColumn(
-        "_hi", F.least(hi, last).cast("bigint")
-    )
-    source = (F.col("_t") + F.lit(0.5)) * scale - F.lit(0.5)
-    clamped = F.greatest(F.lit(0.0), F.least(F.col("n") - F.lit(1.0), source))
-    weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(clamped - F.col("pos")))
-    # each position also adds 0 to itself, so that padded positions exist
-    reach = F.when(F.col("_lo") <= F.col("_hi"), F.sequence("_lo", "_hi")).otherwise(F.array().cast("array<bigint>"))
-    targets = F.concat(F.array(F.lit(-1).cast("bigint")), reach)
-    spread = rows.select("track_id", "n", "pos", "value", "_new", F.explode(targets).alias("_t"))
-    blank = F.col("_t") < 0
-    moved = spread.select(
-        "track_id",
-        "n",
-        F.when(blank, F.col("pos")).otherwise(F.col("_t")).alias("pos"),
-        F.when(blank, F.lit(0.0)).otherwise(weight * F.col("value")).alias("value"),
-    )
-    return (
-        moved.groupBy("track_id", "pos")
-        .agg(F.sum("value").alias("value"), F.max("n").alias("n"))
-        .select(*_COLS)
-    )
-
-
-def pitch_shift(series: DataFrame, semitones: Column | float) -> DataFrame:
-    ratio = F.pow(F.lit(2.0), _col(semitones) / F.lit(12.0))
-    return resample(series, F.greatest(F.lit(1.0), F.rint(F.col("n") / ratio)))
-
-
-def time_stretch(series: DataFrame, rate: Column | float) -> DataFrame:
-    return resample(series, F.greatest(F.lit(1.0), F.rint(F.col("n") * _col(rate))))
-
-
 def gain(series: DataFrame, db: Column | float) -> DataFrame:
     return series.withColumn("value", F.col("value") * F.pow(F.lit(10.0), _col(db) / F.lit(20.0)))
 
@@ -94,61 +41,6 @@ def add_noise(series: DataFrame, snr: Column | float, seed: str | int = 42, on:
     return _with_power(series).withColumn("value", F.col("value") + noise).select(*_COLS)
 
 
-def add_coloured_noise(
-    series: DataFrame, snr: Column | float, seed: str | int = 42, on: Column | None = None
-) -> DataFrame:
-    """Running sum of white noise, centred and scaled to the target level.
-
-    The running sum is taken in blocks of positions with block offsets, so a long track is
-    not summed in one task.
-    """
-    white = series.withColumn("_w", hash_normal(f"{seed}|colour", F.col("track_id"), F.col("pos")))
-    walked = running_totals(
-        white, ["track_id"], [F.col("pos")], F.floor(F.col("pos") / NOISE_BUCKET), {"_w": "_walk"}
-    )
-    stats = walked.groupBy("track_id").agg(
-        F.avg(F.col("value") * F.col("value")).alias("_power"),
-        F.avg("_walk").alias("_mean"),
-        F.stddev_pop("_walk").alias("_rms"),
-    )
-    noise = (F.col("_walk") - F.col("_mean")) * (
-        _noise_scale(F.col("_power"), snr) / (F.col("_rms") + F.lit(1e-8))
-    )
-    if on is not None:
-        noise = F.when(on, noise).otherwise(F.lit(0.0))
-    return walked.join(stats, "track_id").withColumn("value", F.col("value") + noise).select(*_COLS)
-
-
-def eq_curve(frequency: Column, sr: int, centre: Column | float, q: Column | float, db: Column | float) -> Column:
-    """Magnitude response of a second-order peaking filter at ``frequency`` (Hz)."""
-    a = F.pow(F.lit(10.0), _col(db) / F.lit(40.0))
-    w0 = F.lit(2.0 * math.pi / sr) * _col(centre)
-    alpha = F.sin(w0) / (F.lit(2.0) * _col(q))
-    w = F.lit(2.0 * math.pi / sr) * frequency
-
-    def size(c0: Column, c1: Column, c2: Column) -> Column:
-        re = c0 + c1 * F.cos(w) + c2 * F.cos(F.lit(2.0) * w)
-        im = c1 * F.sin(w) + c2 * F.sin(F.lit(2.0) * w)
-        return F.sqrt(re * re + im * im)
-
-    middle = F.lit(-2.0) * F.cos(w0)
-    one = F.lit(1.0)
-    return size(one + alpha * a, middle, one - alpha * a) / size(one + alpha / a, middle, one - alpha / a)
-
-
-def eq_gain(
-    spec: DataFrame, n: int, sr: int, centre: Column | float, q: Column | float, db: Column | float
-) -> DataFrame:
-    """Equaliser as a gain per bin of the spectrum table: pure column arithmetic, no join.
-
-    A negative ``db`` rejects the band; a low or high ``centre`` shifts bass or treble.
-    """
-    g = eq_curve(F.col("bin") * F.lit(float(sr) / n), sr, centre, q, db)
-    return spec.withColumn("_g", g).withColumn("re", F.col("re") * F.col("_g")).withColumn(
-        "im", F.col("im") * F.col("_g")
-    ).drop("_g")
-
-
 def decay_kernel(taps: int, seed: int = 42) -> list[tuple[int, float]]:
     """Decaying noise scaled by its largest absolute value."""
     rng = np.random.default_rng(int(seed))
@@ -157,61 +49,12 @@ def decay_kernel(taps: int, seed: int = 42) -> list[tuple[int, float]]:
     return [(int(k), float(v)) for k, v in enumerate(h)]
 
 
-def _convolve_blocks(taps: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = 1
-        while size < BLOCK + len(taps):
-            size *= 2
-        response = np.fft.rfft(taps, size)
-        for batch in batches:
-            out = []
-            for samples, wet in zip(batch["samples"], batch["wet"]):
-                x = np.asarray(samples, float)
-                y = wet * np.fft.irfft(np.fft.rfft(x, size) * response, size)[: len(x) + len(taps) - 1]
-                y[: len(x)] += (1.0 - wet) * x
-                out.append(y)
-            yield batch.drop(columns=["samples", "wet"]).assign(samples=out)
-
-    return run
-
-
-def convolve(
-    series: DataFrame, kernel: list[tuple[int, float]], wet: Column | float, path: str = "blocks"
-) -> DataFrame:
-    """(1 − wet)·x + wet·(x * h), cut to the length of x.
-
-    Blocks of samples are transformed and the overlapping tails added, for kernels of all lengths; ``path``
-    'taps' names the expansion of each sample over the taps. Both end in one sum per (track, position).
-    """
-    if path == "taps":
-        share = lambda k, h: F.struct(F.lit(k).alias("k"), h.alias("h"))
-        dry = share(0, F.lit(1.0) - _col(wet))
-        taps = F.array(dry, *[share(k, F.lit(h) * _col(wet)) for k, h in kernel])
-        shifted = series.select("track_id", "n", "pos", "value", F.explode(taps).alias("_t"))
-        added = shifted.select(
-            "track_id", "n", (F.col("pos") + F.col("_t.k")).alias("pos"), (F.col("value") * F.col("_t.h")).alias("value")
-        )
-    else:
-        h = np.zeros(max(k for k, _ in kernel) + 1)
-        for k, v in kernel:
-            h[k] += v
-        start = F.floor(F.col("pos") / BLOCK) * BLOCK
-        blocks = (
-            series.withColumn("_wet", _col(wet))
-            .groupBy("track_id", start.alias("start"))
-            .agg(
-                F.max("n").alias("n"),
-                F.max("_wet").alias("wet"),
-                F.array_sort(F.collect_list(F.struct("pos", "value"))).getField("value").alias("samples"),
-            )
-        )
-        track_type = dict(series.dtypes)["track_id"]
-        done = blocks.mapInPandas(
-            _convolve_blocks(h), f"track_id {track_type}, start bigint, n bigint, samples array<double>"
-        )
-        added = done.select("track_id", "n", "start", F.posexplode("samples").alias("_i", "value")).select(
-            "track_id", "n", (F.col("start") + F.col("_i")).alias("pos"), "value"
-        )
+def convolve(series: DataFrame, kernel: list[tuple[int, float]], wet: Column | float) -> DataFrame:
+    """(1 − wet)·x + wet·(x * h), cut to the length of x, for a few taps: each sample is spread over them."""
+    share = lambda k, h: F.struct(F.lit(k).alias("k"), h.alias("h"))
+    taps = F.array(share(0, F.lit(1.0) - _col(wet)), *[share(k, F.lit(h) * _col(wet)) for k, h in kernel])
+    shifted = series.select("track_id", "n", "pos", "value", F.explode(taps).alias("_t"))
+    added = shifted.select("track_id", "n", (F.col("pos") + F.col("_t.k")).alias("pos"), (F.col("value") * F.col("_t.h")).alias("value"))
     return (
         added.where(F.col("pos") < F.col("n")).groupBy("track_id", "pos")
         .agg(F.sum("value").alias("value"), F.max("n").alias("n")).select(*_COLS)
@@ -251,54 +94,3 @@ def perturb(vectors: DataFrame, sigma: float, p: float, seed: str | int = 42) ->
     if p > 0:
         value = value * (hash_unit(f"{seed}|drop", *keys) > p).cast("double")
     return vectors.withColumn("value", value)
-
-
-def augment(
-    series: DataFrame,
-    variants: int,
-    p: float = 0.3,
-    seed: str | int = 42,
-    sr: int = 16000,
-    enabled: bool = True,
-    kernel: list[tuple[int, float]] | None = None,
-) -> DataFrame:
-    """Variants 0..n of each series (0 is the raw one); steps run in a fixed order, each on the
-    variants whose hash falls under ``p``.
-
-    The variant becomes part of the track key (``track#v``). Steps that are off for a variant
-    use neutral parameters, so each step is one plan for all variants.
-    """
-    if not enabled:
-        return series
-    keyed = series.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants)))).select(
-        F.concat(F.col("track_id").cast("string"), F.lit("#"), F.col("variant")).alias("track_id"),
-        "pos", "value", "n",
-    )
-    track = F.col("track_id")
-    raw = track.endswith("#0")
-    on = lambda step: ~raw & (hash_unit(f"{seed}|on|{step}", track) < p)
-    draw = lambda step, lo, hi: hash_between(f"{seed}|{step}", lo, hi, track)
-    pick = lambda step, lo, hi, off: F.when(on(step), draw(step, lo, hi)).otherwise(F.lit(off))
-    out = pitch_shift(keyed, pick("pitch", -2.0, 2.0, 0.0))
-    out = time_stretch(out, pick("stretch", 0.8, 1.2, 1.0))
-    out = gain(out, pick("gain", -6.0, 6.0, 0.0))
-    # both noise steps read their input twice (level, then samples): materialise it once
-    out = add_noise(cut_lineage(out), draw("white", 20.0, 40.0), seed, on("white"))
-    out = convolve(out, kernel or decay_kernel(int(0.3 * sr)), pick("reverb", 0.1, 0.4, 0.0))
-    out = crop(out, 5 * sr, 30 * sr, seed, on("crop"))
-    return add_coloured_noise(cut_lineage(out), draw("colour", 15.0, 35.0), seed, on("colour"))
-
-
-def augment_spectrum(spec: DataFrame, n: int, sr: int, p: float = 0.3, seed: str | int = 42) -> DataFrame:
-    """The three equaliser steps of the chain, on the spectrum of augmented tracks."""
-    track = F.col("track_id")
-    raw = track.endswith("#0")
-    draw = lambda step, lo, hi: hash_between(f"{seed}|{step}", lo, hi, track)
-    level = lambda step, lo, hi: F.when(
-        ~raw & (hash_unit(f"{seed}|on|{step}", track) < p), draw(f"{step}|db", lo, hi)
-    ).otherwise(F.lit(0.0))
-    out = eq_gain(spec, n, sr, draw("eq|f", 200.0, 4000.0), draw("eq|q", 0.5, 2.0), level("eq", -6.0, 6.0))
-    out = eq_gain(out, n, sr, draw("cut|f", 500.0, 4000.0), draw("cut|q", 1.0, 5.0), level("cut", -12.0, -3.0))
-    low = hash_unit(f"{seed}|side", track) < 0.5
-    centre = F.when(low, draw("bass", 80.0, 300.0)).otherwise(draw("treble", 4000.0, 8000.0))
-    return eq_gain(out, n, sr, centre, draw("shift|q", 0.5, 1.5), level("shift", -6.0, 6.0))

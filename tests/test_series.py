@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import augment as aug
+from pairloom.operators import block_augment as block
 from pairloom.operators import blocks
 from pairloom.operators import descriptors as d
 from pairloom.operators import kernels
@@ -132,12 +133,39 @@ def test_augmentation_keeps_length_and_level(spark):
     noisy = aug.add_noise(s, 20.0).join(s.withColumnRenamed("value", "raw").drop("n"), ["track_id", "pos"])
     stats = noisy.where("track_id = 'a'").agg(F.avg(F.pow("raw", F.lit(2))).alias("s"), F.avg(F.pow(F.col("value") - F.col("raw"), F.lit(2))).alias("n")).first()
     assert abs(10 * math.log10(stats["s"] / stats["n"]) - 20.0) < 0.5
-    coloured = aug.add_coloured_noise(s, 15.0).join(s.withColumnRenamed("value", "raw").drop("n"), ["track_id", "pos"])
+    parts = blocks.block_table(s, 512)
+    coloured = block.sample_rows(block.add_coloured_noise(parts, 15.0)).join(s.withColumnRenamed("value", "raw").drop("n"), ["track_id", "pos"])
     level = coloured.where("track_id = 'a'").agg(F.avg(F.pow(F.col("value") - F.col("raw"), F.lit(2))).alias("n")).first()["n"]
     assert abs(10 * math.log10(stats["s"] / level) - 15.0) < 0.01
-    out = aug.augment(s, 2, 0.9, sr=100, kernel=[(0, 1.0), (5, 0.5)])
+    out = block.sample_rows(block.augment(parts, 2, 0.9, size=512, limit=None, taps=100, piece=(200, 3000)))
     sizes = {r["track_id"]: (r["c"], r["d"]) for r in out.groupBy("track_id").agg(F.count("pos").alias("c"), F.count_distinct("pos").alias("d")).collect()}
     assert sizes == {f"{t}#{v}": (n, n) for t, n in (("a", 4000), ("b", 900)) for v in range(3)}
     raw = out.where("track_id = 'a#0'").join(s.where("track_id = 'a'").select("pos", F.col("value").alias("raw")), "pos")
     assert raw.where(F.abs(F.col("value") - F.col("raw")) > 1e-9).count() == 0
-    assert aug.augment(s, 2, enabled=False) is s
+    assert block.augment(parts, 2, enabled=False) is parts
+
+
+def test_steps_do_not_depend_on_the_block_size(spark):
+    rng = np.random.default_rng(4)
+    s = series(spark, {"a": rng.standard_normal(700), "b": rng.standard_normal(33), "c": rng.standard_normal(1)})
+    rows = []
+    for size in (7, 64, 65536):
+        parts = blocks.block_table(s, size)
+        out = block.augment(parts, 3, 0.8, size=size, taps=50, piece=(20, 300))
+        rows.append({(r["track_id"], r["pos"]): r["value"] for r in block.sample_rows(out).collect()})
+    assert len(rows[0]) == 4 * 734 and rows[0].keys() == rows[1].keys() == rows[2].keys()
+    assert all(abs(rows[k][x] - v) < 1e-9 for x, v in rows[0].items() for k in (1, 2))
+
+
+def test_filters_against_recursion(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(3000)
+    parts = blocks.block_table(series(spark, {"a": x}), 256)
+    for centre, q, db in ((90.0, 1.5, 6.0), (2500.0, 5.0, -12.0), (8000.0, 0.5, 3.0)):
+        got = block.equalise(parts, 16000, centre, q, db, 256).orderBy("start").collect()
+        a, w0 = 10 ** (db / 40), 2 * math.pi * centre / 16000
+        alpha, y = math.sin(w0) / (2 * q), np.zeros(3002)
+        padded = np.r_[0.0, 0.0, x]
+        for t in range(2, 3002):
+            y[t] = ((1 + alpha * a) * padded[t] - 2 * math.cos(w0) * padded[t - 1] + (1 - alpha * a) * padded[t - 2] + 2 * math.cos(w0) * y[t - 1] - (1 - alpha / a) * y[t - 2]) / (1 + alpha / a)
+        assert np.allclose(np.concatenate([r["samples"] for r in got]), y[2:], atol=1e-9)
