@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import (
     ANNOTATED_SQL, CATALOGUE_SQL, RENDITIONS_SQL, annotated, catalogue, renditions, table, with_sql,
 )
+from checks.windows import SERIES_SQL, series
 from pairloom.operators import catalogue as ops
+from pairloom.operators.blocks import block_table
+from pairloom.session import shared_folder
+from pairloom.sources import signals
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -36,6 +42,19 @@ SQL["a02_keep_existing"] = with_sql(ANNOTATED_SQL, "disk AS (SELECT 't' || page_
 SELECT pair_id, track_a, track_b FROM ann
 WHERE track_a IN (SELECT path FROM disk) AND track_b IN (SELECT path FROM disk)"""
 
+def _signal_files(spark, sf):
+    """Each user's event values written as a WAV file and read back by ranges."""
+    folder = f"{shared_folder(spark).rstrip('/')}/signals/{uuid.uuid4().hex}"
+    blocks = block_table(series(spark, sf))
+    files = signals.write_signals(blocks, folder)
+    written = files.count()
+    read = signals.ingest_signals(signals.read_signal_blocks(spark, folder))
+    name = F.regexp_extract("track_id", r"([^/]+)[.]wav$", 1).cast("long")
+    return read.select(name.alias("track_id"), "pos", "value", "n", F.lit(written).alias("files"))
+
+
+QUERIES["a03_signal_files"] = _signal_files
+SQL["a03_signal_files"] = with_sql(SERIES_SQL) + "SELECT track_id, pos, value, n, (SELECT count(DISTINCT track_id) FROM ser) AS files FROM ser"
 QUERIES["a04_normalise_labels"] = lambda spark, sf: ops.normalise_labels(*_vendor(spark, sf))
 SQL["a04_normalise_labels"] = with_sql(CATALOGUE_SQL) + """
 SELECT path AS filename, label,

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.sources.stores import opens, store_of
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence on whatever file system the path names."""
@@ -19,10 +21,30 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        heads = []
+        for path in batch["path"]:
+            system, inside = store_of(path)
+            with system.open_input_file(inside) as f:
+                head = b""
+                while b"\n" not in head and (more := f.read(65536)):
+                    head += more
+            heads.append(head.split(b"\n")[0].rstrip(b"\r").decode())
+        yield pd.DataFrame({"file": batch["path"], "head": heads})
+
+
 def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """(header line, its files) of the CSV files below ``path``: one entry per column order."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    first = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+    """(header line, its files) of the CSV files below ``path``: one entry per column order.
+
+    Tasks read the first bytes of each file; of a store that only Spark opens, Spark reads the lines.
+    """
+    if opens(path):
+        files = spark.read.format("binaryFile").load(path).select("path")  # no content is read
+        first = spread(files, "path").mapInPandas(_first_lines, "file string, head string")
+    else:
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+        first = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
     grouped = first.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files"))
     return sorted((r["head"], r["files"]) for r in grouped.collect())
 
@@ -49,36 +71,44 @@ def read_catalogue(spark: SparkSession, path: str, schema: T.StructType, multi_l
 
 def _entries(folder: str, recursive: bool) -> list[tuple[str, int, bool]]:
     """(path, length, is folder) as Spark writes paths."""
-    system, root = pafs.FileSystem.from_uri(folder)
-    at = folder.find(root) if "://" in folder else -1
-    prefix = folder[:at] if at > 0 else "file:"
+    system, root = store_of(folder)
+    prefix = folder.rstrip("/") if ":" in folder.split("/")[0] else "file:" + root.rstrip("/")
     found = system.get_file_info(pafs.FileSelector(root, recursive=recursive, allow_not_found=True))
     return [
-        (prefix + f.path, f.size or 0, f.type == pafs.FileType.Directory)
+        (prefix + f.path[len(root.rstrip("/")) :], f.size or 0, f.type == pafs.FileType.Directory)
         for f in found
         if f.type in (pafs.FileType.File, pafs.FileType.Directory)
     ]
 
 
-def _list_subfolders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for folder in batch["folder"]:
-            files = [(p, n) for p, n, is_folder in _entries(folder, True) if not is_folder]
-            yield pd.DataFrame(files, columns=["path", "length"])
+def _listed(recursive: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["path"]:
+                yield pd.DataFrame(_entries(folder, recursive), columns=["path", "length", "is_folder"])
+
+    return run
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over as many tasks as a shuffle has, however few bytes they are: each stands for a file."""
+    return df.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
     """File listing (path, name, length), files of 0 bytes included.
 
     Spark's file sources leave empty files out, so a file that is there but empty would look
-    missing. The subfolders are listed in tasks; no content is read.
+    missing. Folders are listed in tasks: the top one in one, each of its subfolders in another; no content is read.
+    A store that only Spark opens is listed by Spark, without its empty files.
     """
-    top = _entries(folder, False)
-    files = spark.createDataFrame([(p, n) for p, n, is_folder in top if not is_folder], "path string, length long")
-    folders = [(p,) for p, _, is_folder in top if is_folder]
-    if folders:
-        nested = spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 1000), "folder")
-        files = files.unionByName(nested.mapInPandas(_list_subfolders, "path string, length long"))
+    if opens(folder):
+        schema = "path string, length long, is_folder boolean"
+        top = spark.createDataFrame([(folder,)], "path string").mapInPandas(_listed(False), schema)
+        nested = spread(top.where("is_folder").select("path"), "path").mapInPandas(_listed(True), schema)
+        files = top.unionAll(nested).where("not is_folder")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     like = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern)
     return files.select("path", name.alias("name"), "length").where(F.col("name").rlike(f"^{like}$"))
