@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +17,9 @@ from pairloom.operators import similarity as s
 from pairloom.operators.windows import window_aggregates
 from pairloom.sources.catalogue import path_exists
 
+#: folders of an ingested table, and the column that names them
+PARTS, PART = 64, "key_part"
+
 
 def file_stream(
     spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", pattern: str | None = None,
@@ -56,15 +59,33 @@ def write_stream(
     return writer.start(target)
 
 
+def key_part(keys: Sequence[str], parts: int) -> Column:
+    """The folder of a key in a table that is laid out by its keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias(PART)
+
+
+def read_ingested(spark: SparkSession, target: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of an ingested table; its folders are no column."""
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField(PART, T.IntegerType())]))
+    return reader.parquet(target).drop(PART)
+
+
+def stored_keys(spark: SparkSession, target: str, schema: T.StructType, keys: Sequence[str], touched: Sequence[int]) -> DataFrame:
+    """Keys of the table in the folders ``touched``: no other folder is listed or read."""
+    layout = T.StructType([*schema.fields, T.StructField(PART, T.IntegerType())])
+    return spark.read.schema(layout).parquet(target).where(F.col(PART).isin(list(touched))).select(*keys)
+
+
 def stream_ingest(
     stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: str,
-    counts: str | None = None, available_now: bool = True,
+    counts: str | None = None, available_now: bool = True, parts: int = PARTS,
 ) -> StreamingQuery:
     """Append rows with new keys to a Parquet table; no key is stored twice.
 
     Within a batch the first row per key by ``order`` stays; keys of the table are left out.
     The table itself decides, so a batch that is run again after a failure adds nothing it
-    already wrote. ``counts`` names a folder for (epoch, status, n) rows.
+    already wrote. Its rows lie in ``parts`` folders by their keys, and a batch only reads those that its own
+    keys fall into. ``counts`` names a folder for (epoch, status, n) rows.
     """
     keys = list(keys)
 
@@ -74,21 +95,21 @@ def stream_ingest(
         unique = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r")).select(
             *keys, *[F.col(f"_r.{c}").alias(c) for c in rest]
         )
-        fresh = unique.select(*batch.columns)
-        if path_exists(spark, target):
-            known = spark.read.schema(batch.schema).parquet(target).select(*keys)
-            fresh = fresh.join(known, keys, "left_anti").select(*batch.columns)
-        if counts is None:
-            fresh.write.mode("append").parquet(target)
-            return
-        fresh = fresh.persist()
-        seen, added = batch.count(), fresh.count()
-        fresh.write.mode("append").parquet(target)
-        fresh.unpersist()
-        report = spark.createDataFrame(
-            [(epoch, "added", added), (epoch, "skipped", seen - added)], "epoch long, status string, n long"
-        )
-        report.coalesce(1).write.mode("append").parquet(counts)
+        held = unique.select(*batch.columns, key_part(keys, parts)).persist()
+        try:
+            fresh = held
+            if path_exists(spark, target):
+                touched = [r[PART] for r in held.select(PART).distinct().collect()]  # at most ``parts`` numbers
+                fresh = held.join(stored_keys(spark, target, batch.schema, keys, touched), keys, "left_anti").select(*held.columns)
+            added = fresh.count() if counts else 0
+            fresh.write.mode("append").partitionBy(PART).parquet(target)
+        finally:
+            held.unpersist()
+        if counts:
+            report = spark.createDataFrame(
+                [(epoch, "added", added), (epoch, "skipped", batch.count() - added)], "epoch long, status string, n long"
+            )
+            report.coalesce(1).write.mode("append").parquet(counts)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(ingest)
     if available_now:

@@ -1,3 +1,4 @@
+import re
 import struct
 import wave
 
@@ -8,6 +9,7 @@ from pyspark.sql import types as T
 
 from pairloom.operators import validation
 from pairloom.sources import catalogue, schemas, signals
+from pairloom.streaming import jobs
 
 
 def write_wav(path, values, sr=16000, channels=1):
@@ -133,3 +135,20 @@ def test_csv_files_of_two_column_orders(spark, tmp_path, multi_line):
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("filename", "label", "generator", "split")])
     got = {tuple(r) for r in catalogue.read_catalogue(spark, str(tmp_path), schema, multi_line).collect()}
     assert got == {("a.wav", "ai", "suno", "train"), ("b, c.wav", "real", "real", "val"), ("d.wav", None, "udio", "train")}
+
+
+def test_ingest_reads_only_the_folders_of_its_keys(spark, tmp_path):
+    rows = [(f"k{i}", i, "en") for i in range(200)]
+    schema = "key string, doc_id long, lang string"
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    for k, part in enumerate((rows[:120], rows[60:] + rows[60:90])):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        jobs.stream_ingest(stream, target, str(tmp_path / f"state{k}"), ["key"], "doc_id", counts=str(tmp_path / "counts"), parts=16).awaitTermination()
+    assert sorted(tuple(r) for r in jobs.read_ingested(spark, target).collect()) == sorted(rows)
+    counts = spark.read.parquet(str(tmp_path / "counts")).groupBy("status").agg(F.sum("n").alias("n")).collect()
+    assert {r["status"]: r["n"] for r in counts}["added"] == 200
+    few = jobs.stored_keys(spark, target, stream.schema, ["key"], [3, 5])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "key_part IN (3,5)" in re.sub(r"#\d+", "", plan.split("PartitionFilters: ")[1].split("]")[0])
+    assert {tuple(r) for r in few.collect()} == {(r["key"],) for r in spark.createDataFrame(rows, schema).where(jobs.key_part(["key"], 16).isin(3, 5)).collect()}
