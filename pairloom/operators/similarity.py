@@ -90,40 +90,62 @@ def embedding_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     return scored.groupBy(A, B).agg(by_kind.alias("by_kind"), F.avg("_s").alias("embedding"))
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(track_id, term, tf) of lower-case words over the whole text.
+def _counted() -> Column:
+    @F.pandas_udf("struct<h: array<long>, check: array<long>, tf: array<long>>")
+    def run(h: pd.Series, check: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(h, check):
+            terms, tf = np.unique(np.stack([np.asarray(x, np.int64), np.asarray(y, np.int64)], 1), axis=0, return_counts=True)
+            rows.append((terms[:, 0], terms[:, 1], tf))
+        return pd.DataFrame(rows, columns=["h", "check", "tf"])
 
-    Texts are hashed by track before they are cut into words: the counts then need no
-    exchange of their own, and every reader of the counts shares that one.
+    return run
+
+
+def packed_terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(track_id, terms): the lower-case words of a whole text as sorted arrays of two hashes and the count.
+
+    Two words count as one only if both 64-bit hashes agree. No word is a row; a text is cut and hashed in one
+    expression and packed in batches.
     """
-    words = F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("term")
-    spread = docs.select("track_id", F.col(text)).repartition("track_id")
-    return spread.select("track_id", words).where(F.col("term") != "").groupBy("track_id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    whole = docs.groupBy("track_id").agg(F.concat_ws(" ", F.collect_list(text)).alias("_t"))
+    words = F.filter(F.split(F.lower("_t"), r"\s+"), lambda w: w != "")
+    cut = whole.select("track_id", words.alias("_w"))
+    hashes = [F.transform("_w", lambda w: F.xxhash64(w)), F.transform("_w", lambda w: F.xxhash64(F.lit(7), w))]
+    # dealt by track after packing, so that both sides of a pair read one exchange
+    return cut.select("track_id", _counted()(*hashes).alias("terms")).repartition("track_id")
+
+
+def _text_cosine() -> Column:
+    @F.pandas_udf("double")
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        out = []
+        for ha, ca, ta, hb, cb, tb in zip(a["h"], a["check"], a["tf"], b["h"], b["check"], b["tf"]):
+            if ha is None or hb is None or not len(ha) or not len(hb):
+                both_empty = (ha is None or not len(ha)) and (hb is None or not len(hb))
+                out.append(None if both_empty else 0.0)
+                continue
+            low, high = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
+            shared = 0
+            for k in range(int((high - low).max(initial=0))):  # once, but for words with one first hash
+                at = np.flatnonzero(low + k < high)
+                same = at[np.asarray(cb)[low[at] + k] == np.asarray(ca)[at]]
+                shared += int(np.asarray(ta)[same] @ np.asarray(tb)[low[same] + k])
+            out.append(shared / (np.sqrt(float(np.asarray(ta) @ np.asarray(ta))) * np.sqrt(float(np.asarray(tb) @ np.asarray(tb)))))
+        return pd.Series(out, dtype="float64")
+
+    return run
 
 
 def text_similarity(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Raw cosine of term counts: both texts empty -> null, exactly one -> 0.
+    """Raw cosine of term counts: both texts empty -> null, exactly one -> 0; a track without text is an empty one.
 
-    The products are summed over shared terms only: pairs meet the terms of their first
-    track, then the same term of the second.
+    Packed terms travel to a pair once for each side and are merged there.
     """
-    counts = term_counts(docs, text)
-    norms = counts.groupBy("track_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    sides = both_sides(pairs.select(A, B).distinct(), norms, ["norm"], "left")
-    a = counts.select(F.col("track_id").alias(A), "term", F.col("tf").alias("_ta"))
-    b = counts.select(F.col("track_id").alias(B), "term", F.col("tf").alias("_tb"))
-    shared = (
-        pairs.select(A, B).distinct().join(a, A).join(b, [B, "term"])
-        .groupBy(A, B).agg(F.sum(F.col("_ta") * F.col("_tb")).alias("_dot"))
-    )
-    score = (
-        F.when(F.col("norm_a").isNull() & F.col("norm_b").isNull(), F.lit(None))
-        .when(F.col("norm_a").isNull() | F.col("norm_b").isNull(), F.lit(0.0))
-        .otherwise(F.coalesce("_dot", F.lit(0)) / (F.col("norm_a") * F.col("norm_b")))
-    )
-    return sides.join(shared, [A, B], "left").select(A, B, score.alias("lyrical"))
+    sides = both_sides(pairs.select(A, B).distinct(), packed_terms(docs, text), ["terms"], "left")
+    blank = lambda c: F.coalesce(c, F.struct(*(F.array().cast("array<bigint>").alias(k) for k in ("h", "check", "tf"))))
+    score = _text_cosine()(blank(F.col("terms_a")), blank(F.col("terms_b")))
+    return sides.select(A, B, F.when(~F.isnan(score), score).alias("lyrical"))
 
 
 def energy_gate(frames: DataFrame, threshold: float) -> DataFrame:
