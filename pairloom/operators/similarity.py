@@ -427,6 +427,30 @@ def result_struct(df: DataFrame, mode: str = "standard") -> DataFrame:
     return out.withColumn("json", F.to_json("result", {"ignoreNullFields": "false"}))
 
 
+def window_matrices(chunks: DataFrame) -> DataFrame:
+    """(track_id, rows, width): the window vectors of a track behind one another, scaled to length 1 (zeros stay)."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", to_double(F.col("vector")).alias("v")))).getField("v")
+    packed = chunks.groupBy("track_id").agg(ordered.alias("_m"))
+    unit = lambda v: F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v))).otherwise(v)
+    # dealt by track after packing, so that both sides of a pair read one exchange
+    return packed.select("track_id", F.flatten(F.transform("_m", unit)).alias("rows"), F.size(F.col("_m")[0]).alias("width")).repartition("track_id")
+
+
+def _best_matches() -> Column:
+    """Mean over the windows of a of the best product with a window of b; windows of length 0 have none."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, width: pd.Series) -> pd.Series:
+        out = []
+        for x, y, w in zip(a, b, width):
+            x, y = np.asarray(x, float).reshape(-1, w), np.asarray(y, float).reshape(-1, w)
+            x, y = x[(x != 0).any(1)], y[(y != 0).any(1)]
+            out.append(float((x @ y.T).max(1).mean()) if len(x) and len(y) else None)
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
 def coarse_to_fine(
     pairs: DataFrame, vectors: DataFrame, chunks: DataFrame, threshold: float | None = 0.3
 ) -> DataFrame:
@@ -434,18 +458,14 @@ def coarse_to_fine(
     the windows of a of the best cosine with a window of b.
 
     Pairs under the coarse threshold are rejected before any window is read (None keeps all).
-    ``chunks`` is (track_id, chunk, vector).
+    ``chunks`` is (track_id, chunk, vector). A pair's windows are two matrices and one product: no window pair is a row.
     """
     coarse = pair_cosine(pairs.select(A, B).distinct(), vectors, "coarse", clip=False)
     if threshold is not None:
         coarse = coarse.where(F.col("coarse") >= threshold)
-    a = chunks.select(F.col("track_id").alias(A), F.col("chunk").alias("_ca"), to_double(F.col("vector")).alias("_va"))
-    b = chunks.select(F.col("track_id").alias(B), to_double(F.col("vector")).alias("_vb"))
-    best = (
-        coarse.join(a, A).join(b, B)
-        .groupBy(A, B, "coarse", "_ca").agg(F.max(cosine(F.col("_va"), F.col("_vb"))).alias("_best"))
-    )
-    fine = best.groupBy(A, B, "coarse").agg(F.avg("_best").alias("fine"))
+    both = both_sides(coarse, window_matrices(chunks), ["rows", "width"])
+    best = _best_matches()("rows_a", "rows_b", "width_a")
+    fine = both.select(A, B, "coarse", best.alias("_f")).withColumn("fine", F.when(~F.isnan("_f"), F.col("_f"))).drop("_f")
     return fine.withColumn("score", F.lit(0.3) * F.col("coarse") + F.lit(0.7) * F.col("fine"))
 
 
