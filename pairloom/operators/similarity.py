@@ -64,14 +64,18 @@ def pair_cosine(pairs: DataFrame, vectors: DataFrame, name: str = "score", path:
     return joined.withColumn(name, clip01(score) if clip else score).drop("vector_a", "vector_b")
 
 
-def timbral_similarity(pairs: DataFrame, frames: DataFrame) -> DataFrame:
-    """Cosine of the mean frame; NaN counts as 0 and a zero vector gives 0."""
+def mean_frames(frames: DataFrame) -> DataFrame:
+    """(track_id, vector): the mean of every band over a track's frames, NaN as 0."""
     means = frames.groupBy("track_id", "band").agg(F.avg("value").alias("m"))
     clean = F.when(F.isnan("m") | F.col("m").isNull(), F.lit(0.0)).otherwise(F.col("m"))
-    vectors = means.groupBy("track_id").agg(
+    return means.groupBy("track_id").agg(
         F.array_sort(F.collect_list(F.struct("band", clean.alias("m")))).getField("m").alias("vector")
     )
-    scored = pair_cosine(pairs, vectors, "timbral")
+
+
+def timbral_similarity(pairs: DataFrame, frames: DataFrame) -> DataFrame:
+    """Cosine of the mean frame; NaN counts as 0 and a zero vector gives 0."""
+    scored = pair_cosine(pairs, mean_frames(frames), "timbral")
     return scored.withColumn("timbral", F.coalesce("timbral", F.lit(0.0)))
 
 
@@ -90,6 +94,19 @@ def embedding_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     return scored.groupBy(A, B).agg(by_kind.alias("by_kind"), F.avg("_s").alias("embedding"))
 
 
+def kind_cosines(a: Column, b: Column) -> Column:
+    """Map from each kind that both maps of vectors have to its clipped cosine; null without any."""
+    kinds = F.array_sort(F.array_intersect(F.map_keys(a), F.map_keys(b)))
+    score = F.transform(kinds, lambda k: clip01(cosine(to_double(F.element_at(a, k)), to_double(F.element_at(b, k)))))
+    return F.when(F.size(kinds) > 0, F.map_from_arrays(kinds, score))
+
+
+def map_mean(values: Column) -> Column:
+    """Mean of a map's values that are not null."""
+    known = F.filter(F.map_values(values), lambda v: v.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda total, v: total + v) / F.size(known))
+
+
 def _counted() -> Column:
     @F.pandas_udf("struct<h: array<long>, check: array<long>, tf: array<long>>")
     def run(h: pd.Series, check: pd.Series) -> pd.DataFrame:
@@ -143,9 +160,14 @@ def text_similarity(pairs: DataFrame, docs: DataFrame, text: str = "text") -> Da
     Packed terms travel to a pair once for each side and are merged there.
     """
     sides = both_sides(pairs.select(A, B).distinct(), packed_terms(docs, text), ["terms"], "left")
+    return sides.select(A, B, term_cosine(F.col("terms_a"), F.col("terms_b")).alias("lyrical"))
+
+
+def term_cosine(a: Column, b: Column) -> Column:
+    """Cosine of packed terms; a missing side is an empty text."""
     blank = lambda c: F.coalesce(c, F.struct(*(F.array().cast("array<bigint>").alias(k) for k in ("h", "check", "tf"))))
-    score = _text_cosine()(blank(F.col("terms_a")), blank(F.col("terms_b")))
-    return sides.select(A, B, F.when(~F.isnan(score), score).alias("lyrical"))
+    score = _text_cosine()(blank(a), blank(b))
+    return F.when(~F.isnan(score), score)
 
 
 def energy_gate(frames: DataFrame, threshold: float) -> DataFrame:
@@ -161,13 +183,17 @@ def gated_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     ``vectors`` is (track_id, vector, active).
     """
     j = both_sides(pairs, vectors, ["vector", "active"])
-    a, b = to_double(F.col("vector_a")), to_double(F.col("vector_b"))
-    ok = F.col("active_a") & F.col("active_b") & (norm(a) >= 1e-8) & (norm(b) >= 1e-8)
-    return j.withColumn("vocal", F.when(ok, dot(a, b) / (norm(a) * norm(b)))).drop(
+    return j.withColumn("vocal", gated_cosine(*(F.col(c) for c in ("vector_a", "active_a", "vector_b", "active_b")))).drop(
         "vector_a", "vector_b", "active_a", "active_b"
     )
 
 
+def gated_cosine(vector_a: Column, active_a: Column, vector_b: Column, active_b: Column) -> Column:
+    a, b = to_double(vector_a), to_double(vector_b)
+    ok = active_a & active_b & (norm(a) >= 1e-8) & (norm(b) >= 1e-8)
+    return F.when(ok, dot(a, b) / (norm(a) * norm(b)))
+
+
 def _frame_counts(frames: DataFrame) -> DataFrame:
     return frames.groupBy("track_id").agg((F.max("frame") + 1).alias("t"))
 

@@ -27,6 +27,28 @@ def artifacts(tier2: DataFrame) -> DataFrame:
     return tier2.select("track_id", s.artifact_score(F.col("features")).alias("artifact"))
 
 
+def track_table(tables: TrackTables, use_embeddings: bool = True, use_lyrics: bool = True, use_vocals: bool = True) -> tuple[DataFrame, list[str]]:
+    """One row per track with all that a pair needs of it in one row, and the names of these columns.
+
+    The parts are stacked and grouped by track: one exchange for all of them, which both sides of the pairs share.
+    """
+    parts: dict[str, DataFrame] = {"artifact": artifacts(tables.tier2)}
+    if tables.cepstrum_frames is not None:
+        parts["frame"] = s.mean_frames(tables.cepstrum_frames).withColumnRenamed("vector", "frame")
+    if use_embeddings and tables.embeddings is not None:
+        parts["kinds"] = tables.embeddings
+    if use_lyrics and tables.texts is not None:
+        parts["terms"] = s.packed_terms(tables.texts)
+    if use_vocals and tables.voices is not None:
+        parts["voice"] = tables.voices.select("track_id", F.struct("vector", "active").alias("voice"))
+    stacked = [df.select("track_id", name) for name, df in parts.items()]
+    out = stacked[0]
+    for part in stacked[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    names = list(parts)
+    return out.groupBy("track_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in names)), names
+
+
 def score_pairs(
     pairs: DataFrame,
     tables: TrackTables,
@@ -38,30 +60,33 @@ def score_pairs(
     """One scored row per pair whose tracks have features; others drop out.
 
     'fast' reads the tier-2 table alone. A toggle that is off, or a table that is None, takes
-    its component out of the plan altogether; a null component only drops its weight.
+    its component out of the plan altogether; a null component only drops its weight. What a track gives by itself
+    stands in one table that is joined once for each side; only parts that need frames of both tracks are joined by pair.
     """
     if mode not in ("fast", "standard", "full"):
         raise ValueError(f"unknown mode {mode}")
     keys = pairs.select(s.A, s.B).distinct()
-    scores = artifacts(tables.tier2)
     if mode == "fast":
-        return s.fast_screen(keys, scores)
-    out = s.both_sides(keys, scores, ["artifact"])
+        return s.fast_screen(keys, artifacts(tables.tier2))
+    side, names = track_table(tables, use_embeddings, use_lyrics, use_vocals)
+    out = s.both_sides(keys, side.where("artifact is not null"), names)
+    of = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
+    if "frame" in names:
+        a, b = of("frame")
+        out = out.withColumn("timbral", F.when(a.isNotNull() & b.isNotNull(), F.coalesce(s.clip01(s.cosine(a, b)), F.lit(0.0))))
+    if "kinds" in names:
+        out = out.withColumn("by_kind", s.kind_cosines(*of("kinds"))).withColumn("embedding", s.map_mean(F.col("by_kind")))
+    if "terms" in names:
+        out = out.withColumn("lyrical", s.term_cosine(*of("terms")))
+    if "voice" in names:
+        a, b = of("voice")
+        out = out.withColumn("vocal", s.gated_cosine(a["vector"], a["active"], b["vector"], b["active"]))
+    out = out.drop(*(f"{c}_{x}" for c in names if c != "artifact" for x in "ab"))
     parts: list[DataFrame] = []
     if tables.chroma_frames is not None:
-        parts.append(s.melodic_similarity(keys, tables.chroma_frames))
-    if tables.cepstrum_frames is not None:
-        parts.append(s.timbral_similarity(keys, tables.cepstrum_frames))
-    if tables.chroma_frames is not None:
-        parts.append(s.structural_similarity(keys, tables.chroma_frames))
-    if use_embeddings and tables.embeddings is not None:
-        parts.append(s.embedding_similarity(keys, tables.embeddings).select(s.A, s.B, "embedding", "by_kind"))
+        parts += [s.melodic_similarity(keys, tables.chroma_frames), s.structural_similarity(keys, tables.chroma_frames)]
     if tables.neural is not None:
         parts.append(tables.neural.select(s.A, s.B, "neural"))
-    if use_lyrics and tables.texts is not None:
-        parts.append(s.text_similarity(keys, tables.texts))
-    if use_vocals and tables.voices is not None:
-        parts.append(s.gated_similarity(keys, tables.voices))
     for part in parts:
         out = out.join(part, [s.A, s.B], "left")
     scored = s.confidence(s.attribution_score(out))
