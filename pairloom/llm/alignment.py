@@ -16,6 +16,8 @@ from pairloom.llm.storage import Scratch, bounded_batches, stored
 
 #: bytes of text whose links are coded together, id pairs in a row
 BLOCK_BYTES, PART_PAIRS = 4 << 20, 8192
+#: one-to-one tokens after which windows are compared
+NEAR = 8
 NUMBERS = ("track_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 SCHEMA = ", ".join(f"{c} long" for c in NUMBERS) + ", groups string"
 
@@ -57,63 +59,70 @@ def public_tokenizer_pair() -> tuple[Tokenizer, Tokenizer]:
     )
 
 
-def aligned(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Tokens before each group's end on either side, and the linked tokens of either side.
+def aligned(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+    """Tokens before each group's end on either side.
 
-    While both end arrays agree at the current shift between their indices, tokens are one to one: windows of
-    doubling length are compared there, and the first disagreement is closed in on by halving. An irregular group is
-    walked token by token to the next common end, which gives the new shift.
+    While both end arrays agree at the current shift between their indices, tokens are one to one. After ``NEAR`` of
+    them, windows of doubling length are compared, and the first disagreement is closed in on by halving down to that
+    length. An irregular group is walked token by token to the next common end, which gives the new shift.
     """
-    upto_a, upto_b, link_a, link_b = [], [], [], []
-    i = j = 0
+    upto_a, upto_b = [], []
+    i = j = run = 0
     n = len(ends_a)
     while i < n:
-        run, step = 0, 1
-        while i + run < n and ends_a[i + run : i + run + step] == ends_b[j + run : j + run + step]:
-            run += step
-            step *= 2
-        while step > 1 and i + run < n:
-            step //= 2
-            if ends_a[i + run : i + run + step] == ends_b[j + run : j + run + step]:
-                run += step
-        if run:
-            run = min(run, n - i)
-            link_a += range(i, i + run)
-            link_b += range(j, j + run)
-            i, j = i + run, j + run
-            upto_a += range(i - run + 1, i + 1)
-            upto_b += range(j - run + 1, j + 1)
-            if i == n:
-                break
         x, y = ends_a[i], ends_b[j]
-        while True:
-            link_a.append(i)
-            link_b.append(j)
-            if x < y:
-                i += 1
-                x = ends_a[i]
-            elif y < x:
-                j += 1
-                y = ends_b[j]
-            else:
-                break
-        i, j = i + 1, j + 1
+        if x == y:
+            run += 1
+        else:
+            run = 0
+            while x != y:
+                if x < y:
+                    i += 1
+                    x = ends_a[i]
+                else:
+                    j += 1
+                    y = ends_b[j]
+        i += 1
+        j += 1
         upto_a.append(i)
         upto_b.append(j)
-    return upto_a, upto_b, link_a, link_b
-
-
-def groups_text(a: list[int], b: list[int], upto_a: list[int], upto_b: list[int]) -> str:
-    """The groups as ``a1,a2|b1;a3|b2,b3``: decimal ids in order."""
-    a, b = list(map(str, a)), list(map(str, b))
-    out, i, j = [], 0, 0
-    for p, q in zip(upto_a, upto_b):
-        if p == i + 1 and q == j + 1:
-            out.append(f"{a[i]}|{b[j]}")
-        else:
-            out.append(f"{','.join(a[i:p])}|{','.join(b[j:q])}")
-        i, j = p, q
-    return ";".join(out)
+        if run == NEAR:
+            first, step, grows = i, NEAR, True
+            while step >= NEAR and i < n:
+                if ends_a[i : i + step] == ends_b[j : j + step]:
+                    i, j = min(i + step, n), j + step
+                else:
+                    grows = False
+                step = step * 2 if grows else step // 2
+            upto_a += range(first + 1, i + 1)
+            upto_b += range(j - (i - first) + 1, j + 1) if i < n else range(len(ends_b) - (i - first) + 1, len(ends_b) + 1)
+            run = 0
+    return upto_a, upto_b
+
+
+def linked_tokens(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The linked tokens of either side: between neighbouring ends of both lies one link."""
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    ends = ends[np.r_[True, ends[1:] != ends[:-1]]] if len(ends) else ends
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+
+
+class GroupsText:
+    """Groups as ``a1,a2|b1;a3|b2,b3``: decimal ids in order, each id's text with its sign made once."""
+
+    def __init__(self, n_a: int, n_b: int) -> None:
+        self.texts = [f"{k}{sign}" for k in range(n_a) for sign in ",|"] + [f"{k}{sign}" for k in range(n_b) for sign in ",;"]
+        self.first_b = 2 * n_a
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> str:
+        codes = np.empty(len(a) + len(b), np.int64)
+        for ids, upto, other, base in ((a, upto_a, np.r_[0, upto_b[:-1]], 0), (b, upto_b, upto_a, self.first_b)):
+            last = np.zeros(len(ids), np.int64)
+            last[upto - 1] = 1
+            # a token stands behind its own side's tokens and those of the other side's groups before it
+            codes[np.arange(len(ids)) + other[np.cumsum(last) - last]] = base + 2 * ids + last
+        texts = self.texts
+        return "".join([texts[k] for k in codes.tolist()])[:-1]
 
 
 def _coded(tokenizers: Callable, finish: Callable[[str], str] | None, block_bytes: int):
@@ -129,6 +138,7 @@ def _coded(tokenizers: Callable, finish: Callable[[str], str] | None, block_byte
         from pyspark import TaskContext
 
         one, other = tokenizers()
+        groups_text = GroupsText(len(one.entries), len(other.entries))
         block, size, pack = TaskContext.get().partitionId() << 33, 0, zstandard.ZstdCompressor(level=3).compress
         held: list[tuple] = []
 
@@ -154,11 +164,13 @@ def _coded(tokenizers: Callable, finish: Callable[[str], str] | None, block_byte
                 whole = b" " + text.encode()
                 if any(b"".join(map(t.entries.__getitem__, ids)) != whole for t, ids in ((one, a), (other, b))):
                     a, b = [], []
-                ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-                upto_a, upto_b, link_a, link_b = aligned(np.cumsum(one.sizes[ids_a]).tolist(), np.cumsum(other.sizes[ids_b]).tolist())
-                groups = groups_text(a, b, upto_a, upto_b)
-                linked = ids_a[np.array(link_a, np.int64)] << 32 | ids_b[np.array(link_b, np.int64)]
-                held.append(((track.as_py(), len(a), len(b), len(upto_a), len(link_a), finish(groups) if finish else groups), linked))
+                a, b = np.array(a, np.int64), np.array(b, np.int64)
+                ends_a, ends_b = np.cumsum(one.sizes[a]), np.cumsum(other.sizes[b])
+                upto_a, upto_b = (np.array(u, np.int64) for u in aligned(ends_a.tolist(), ends_b.tolist()))
+                link_a, link_b = linked_tokens(ends_a, ends_b)
+                groups = groups_text(a, b, upto_a, upto_b) if len(a) else ""
+                linked = a[link_a] << 32 | b[link_b]
+                held.append(((track.as_py(), len(a), len(b), len(upto_a), len(linked), finish(groups) if finish else groups), linked))
                 size += len(whole)
                 if size > block_bytes:
                     yield from closed()
@@ -197,7 +209,7 @@ def token_alignments(
     ``tokenizers`` is called once in every task and gives tokenizers A and B. Where both end at one byte, tokens are
     cut into groups; a link is a token of A and one of B whose bytes overlap. An id pair counts as often as it is
     linked in all tracks: ``count_sum`` adds the counts of a track's links, ``n_best`` counts its links whose pair
-    is the commonest of its B id, ties included. ``groups`` lists the groups (``groups_text``), or what
+    is the commonest of its B id, ties included. ``groups`` lists the groups (``GroupsText``), or what
     ``finish`` makes of that in the task, so that it need not move. Null and empty texts, and those whose bytes a tokenizer
     changes, have no tokens: zeros and an empty list. Rows without track_id and repeated rows stay and count; other
     columns are ignored.

@@ -7,7 +7,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from pairloom.llm.alignment import aligned, token_alignments
+from pairloom.llm.alignment import aligned, linked_tokens, token_alignments
 from pairloom.llm.queries import op11_token_alignment
 
 SCHEMA = "track_id long, lyrics string, groups string, block long"
@@ -72,12 +72,13 @@ def test_runs_are_skipped_whole():
         ends = sorted(rnd.sample(range(1, 400), rnd.randint(1, 120)))
         a, b = ([e for e in ends if rnd.random() < keep] for keep in (rnd.choice([1, 0.95, 0.5]), rnd.choice([1, 0.9])))
         a, b = sorted({*a, ends[-1]}), sorted({*b, ends[-1]})
-        upto_a, upto_b, link_a, link_b = aligned(a, b)
+        upto_a, upto_b = aligned(a, b)
+        link_a, link_b = linked_tokens(np.array(a), np.array(b))
         both = sorted(set(a) & set(b))
         assert [a[i - 1] for i in upto_a] == [b[j - 1] for j in upto_b] == both
         union = sorted(set(a) | set(b))
         assert list(zip(link_a, link_b)) == [(np.searchsorted(a, e), np.searchsorted(b, e)) for e in union]
-    assert aligned([], []) == ([], [], [], [])
+    assert aligned([], []) == ([], []) and len(linked_tokens(np.empty(0), np.empty(0))[0]) == 0
 
 
 def test_whole_query_on_given_tables(spark):
